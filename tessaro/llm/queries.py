@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from .leaks import leaked
+from .splitting import split_oversized
+from .tokens import encode_texts
 from .transcripts import speaker_turns
 
 
@@ -13,5 +17,50 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return speaker_turns(*(table(spark, folder, name) for name in ("turns", "sources", "speaker_names")))
 
 
-QUERIES = {"p2_found": p2_found}
-SQL: dict[str, str] = {}
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of each oversized chunk."""
+    return split_oversized(table(spark, folder, "chunks"), "text", ["id", "page_start", "start_s"]).withColumnRenamed("id", "chunk_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each oversized chunk and the coarsest boundary that suffices."""
+    return p3_pieces(spark, folder).where("piece_no = 1").select("chunk_id", "boundary")
+
+
+P3_FOUND = r"""
+WITH long AS (
+    SELECT id, text FROM chunks WHERE length(text) > 2000
+), parts AS (
+    SELECT id, 'paragraph' AS boundary, 1 AS rank, regexp_split_to_array(text, '\n[ \t\r]*\n\s*') AS part FROM long
+    UNION ALL
+    SELECT id, 'line', 2, regexp_split_to_array(text, '\n') FROM long
+    UNION ALL
+    SELECT id, 'sentence', 3, regexp_split_to_array(regexp_replace(text, '([.!?…]["”’»)\]]*)\s+', '\1' || chr(10), 'g'), '\n') FROM long
+    UNION ALL
+    SELECT id, 'word', 4, regexp_split_to_array(text, '\s+') FROM long
+    UNION ALL
+    SELECT id, 'none', 5, [''] FROM long
+)
+SELECT id AS chunk_id, arg_min(boundary, rank) AS boundary
+FROM parts WHERE list_max(list_transform(part, lambda x: length(trim(x, ' ' || chr(10) || chr(13) || chr(9))))) <= 2000
+GROUP BY id
+"""
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the evaluation items of which it holds twelve successive words."""
+    return leaked(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """How many documents each leaked evaluation item reached."""
+    return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
+SQL = {"p3_found": P3_FOUND}
