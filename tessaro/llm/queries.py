@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import table
 from .leaks import leaked
+from .quality import FEATURES, kinds_of_text, text_statistics
 from .splitting import split_oversized
 from .tokens import encode_texts
 from .transcripts import speaker_turns
@@ -62,5 +63,29 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return p7_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items}
-SQL = {"p3_found": P3_FOUND}
+P7_FOUND = r"""
+WITH said AS (
+    SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), wanted AS (
+    SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL
+), runs AS (
+    SELECT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM wanted
+), held AS (
+    SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i + 11], ' '))) AS run FROM said
+)
+SELECT DISTINCT doc_id, item_id FROM held JOIN runs USING (run)
+"""
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of each document with a visible character."""
+    return text_statistics(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).select("doc_id", *FEATURES)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document that is a list, a table or junk."""
+    return kinds_of_text(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
+SQL = {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}
