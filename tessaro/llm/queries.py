@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import table
+from .answers import defective_answers
 from .leaks import leaked
 from .quality import FEATURES, kinds_of_text, text_statistics
 from .splitting import split_oversized
@@ -48,6 +49,11 @@ GROUP BY id
 """
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each pair with a defective answer, and its defect."""
+    return defective_answers(table(spark, folder, "qa_turns"), "id", "question", "answer", table(spark, folder, "common_words")).withColumnRenamed("id", "qa_id")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -87,5 +93,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds_of_text(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL = {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}
