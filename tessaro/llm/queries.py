@@ -9,6 +9,7 @@ from ..plans.tables import table
 from .answers import defective_answers
 from .leaks import leaked
 from .quality import FEATURES, kinds_of_text, text_statistics
+from .scans import scan_noise
 from .splitting import split_oversized
 from .tokens import encode_texts
 from .transcripts import speaker_turns
@@ -54,6 +55,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return defective_answers(table(spark, folder, "qa_turns"), "id", "question", "answer", table(spark, folder, "common_words")).withColumnRenamed("id", "qa_id")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The noise of scanned pages, line by line."""
+    return scan_noise(table(spark, folder, "document_results"), table(spark, folder, "document_texts"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -93,5 +99,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds_of_text(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL = {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}
