@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import intervals
+from . import intervals, search
 
-_MODULES = (intervals,)
+_MODULES = (intervals, search)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
