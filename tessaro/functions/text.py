@@ -116,7 +116,8 @@ def clock(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("long")
     hours, minutes, rest = F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), whole % 60
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.when(hours > 0, F.concat_ws(":", hours.cast("string"), two(minutes), two(rest))).otherwise(F.concat_ws(":", minutes.cast("string"), two(rest)))
+    colon = F.lit(":")
+    return F.when(hours > 0, F.concat(hours.cast("string"), colon, two(minutes), colon, two(rest))).otherwise(F.concat(minutes.cast("string"), colon, two(rest)))
 
 
 def citation_label(name: Column, page_start: Column, page_end: Column, start_s: Column) -> Column:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import intervals, search
+from . import intervals, search, sequence, store
 
-_MODULES = (intervals, search)
+_MODULES = (intervals, search, sequence, store)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
