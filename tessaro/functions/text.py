@@ -76,7 +76,7 @@ def stem(word: Column) -> Column:
     )
     short = F.substring(word, F.lit(1), F.char_length(word) - cut)
     short = F.when(F.char_length(short) > 3, F.regexp_replace(short, "e$", "")).otherwise(short)
-    return F.regexp_replace(short, r"(bb|dd|ff|gg|ll|mm|nn|pp|rr|tt)$", "$1")
+    return F.regexp_replace(short, r"([bdfglmnprt])\1$", "$1")
 
 
 def iso_dates(text: Column) -> Column:

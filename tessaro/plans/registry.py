@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evaluation, intervals, parsing, relational, search, sequence, store
+from . import evaluation, intervals, parsing, relational, search, sequence, store, streams
 
-_MODULES = (intervals, search, sequence, store, evaluation, parsing, relational)
+_MODULES = (intervals, search, sequence, store, evaluation, parsing, relational, streams)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
