@@ -8,7 +8,7 @@ from tessaro.operators import metrics as M
 from tessaro.operators.search import bm25, fuse, identifier_hits, vector_topk
 from tessaro.operators.segments import PARTITION, range_sorted
 from tessaro.operators.sequence import asof_match, first_appearance_rank, overlap_pairs, sliding_windows
-from tessaro.operators.skew import salted_join
+from tessaro.operators.skew import salted_join, sized_join
 from tessaro.sources.files import content_addressed, transcript_segments
 from tessaro.sources.sinks import cascade_deleted, replace_partitions, upserted
 from tessaro.streaming.events import deduplicated, drain, read_events, windowed_counts
@@ -55,6 +55,9 @@ def test_salted_join_keeps_every_row(spark):
     assert joined.count() == 302 and joined.where("name = 'a'").count() == 300
     assert salted_join(left, right, ["k"], "inner").count() == 300
     assert salted_join(left.limit(0), right, ["k"]).count() == 0
+    for most in (0, 1 << 20):
+        assert sized_join(left, right, ["k"], most_bytes=most).count() == 302
+        assert sized_join(left, right.select("k"), ["k"], "left_semi", most).count() == 300
 
 
 def test_range_sorted_is_sorted_over_all_partitions(spark):
