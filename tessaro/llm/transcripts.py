@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.segments import PARTITION, carried, range_sorted, with_carried
-from ..operators.skew import salted_join
+from ..operators.skew import sized_join
 from ..session import cut
 
 # Hesitation sounds of each language, as patterns for whole lower-case words.
@@ -82,7 +82,7 @@ def profiles(sources: DataFrame, speaker_names: DataFrame) -> DataFrame:
 def spoken_rows(turns: DataFrame, profile: DataFrame) -> DataFrame:
     """Each row's start, end, speaker and spoken words; rows without any word are left out."""
     fields = turns.select("turn_id", "source_id", "take", "start_s", "end_s", "speaker", "text")
-    rows = salted_join(fields, profile, ["source_id"])
+    rows = sized_join(fields, profile, ["source_id"])
     names = F.coalesce("names", F.array().cast("array<struct<name:string,speaker:int>>"))
     said = F.lower(F.col("text"))
     start = F.coalesce(F.round(F.col("start_s") * 100).cast("long"), _hundredths(said))
@@ -202,7 +202,7 @@ def speaker_turns(turns: DataFrame, sources: DataFrame, speaker_names: DataFrame
     part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(PARTITION, "number", c))), lambda x: x[c]), " ")
     joined = began.groupBy(*keys, "turn", "start_cs", "speaker").agg(part("words").alias("words"), part("trimmed").alias("trimmed"))
     shares = pieces.groupBy(*keys).agg((F.sum("rolled") / F.greatest(F.sum("pairs"), F.lit(1))).alias("_share")).where(F.col("_share") >= rolling_share)
-    chosen = salted_join(joined, shares, keys)
+    chosen = sized_join(joined, shares, keys)
     return chosen.select(*keys, "start_cs", "speaker", F.when(F.col("_share").isNotNull(), F.col("trimmed")).otherwise(F.col("words")).alias("words"))
 
 
