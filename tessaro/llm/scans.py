@@ -29,6 +29,8 @@ _DIGITS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s":
 
 _SEPARATOR = re.compile(r"\s*(?:-{2,}\s*page\s*-{2,}|<!--\s*page[ _-]?break\s*-->|\[page[ _-]?break\]|={3,}\s*page\s*={3,})\s*\Z", re.I)
 _NUMBER = re.compile(r"[\s\-–—\[\]()|·*]*(?:(?:page|seite|página|pagina|pág\.|p\.|s\.)\s*)?(?:[\dOlISB]{1,4}|[ivxlc]{1,6})(?:\s*(?:/|of|von|de|sur)\s*[\dOlISB]{1,4})?[\s\-–—\[\]()|·*]*\Z", re.I)
+#: A page word and what was read for its number, which may have no digit left.
+_PAGE = re.compile(r"[\s\-–—\[\]()|·*]*(?i:page|seite|página|pagina|pág\.|p\.|s\.)\s*[\dOlISB]{1,4}(?:\s*(?:/|of|von|de|sur)\s*[\dOlISB]{1,4})?[\s\-–—\[\]()|·*]*\Z")
 _TERMINAL = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*)[" + re.escape(HYPHENS) + r"]\s*\Z")
 _EDGES = "\"'“”„«»‘’()[]{}<>*_#|.,:;!?…—–¿¡"
@@ -39,7 +41,7 @@ _NUMERIC = re.compile(r"[€$£]?[\dOlISB]+(?:[.,:/\-][\dOlISB]+)*%?\Z")
 def is_number_line(line: str) -> bool:
     """A line that only gives the page."""
     bare = line.strip()
-    return bool(bare) and bool(_NUMBER.match(bare)) and (any(c.isdigit() for c in bare) or bool(re.fullmatch(r"[\W_]*[ivxlc]+[\W_]*", bare)))
+    return bool(bare) and bool(_NUMBER.match(bare)) and (any(c.isdigit() for c in bare) or bool(_PAGE.match(bare)) or bool(re.fullmatch(r"[\W_]*[ivxlc]+[\W_]*", bare)))
 
 
 def furniture_key(line: str) -> str:

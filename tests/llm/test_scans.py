@@ -10,6 +10,11 @@ def test_lines():
     assert [x["page"] for x in pages] == [0, 0, 0, 0, 0, 1, 1]
 
 
+def test_page_number_without_a_digit():
+    assert all(is_number_line(x) for x in ("Page l", "Seite l", "- Page O -", "Página I of lO", "PAGE S"))
+    assert not any(is_number_line(x) for x in ("Page so", "Pages", "Page one", "pagel of it", "B", "Seite"))
+
+
 @pytest.mark.parametrize(("read", "true", "cost"), [("wr0ng", "wrong", 0.3), ("writteri", "written", 0.3), ("rnonth", "month", 0.3), ("same", "same", 0.0), ("abc", "abd", 1.0)])
 def test_edit_cost(read, true, cost):
     assert edit_cost(read, true) == pytest.approx(cost)
