@@ -153,6 +153,24 @@ def page_lines(document_results: DataFrame, document_texts: DataFrame) -> DataFr
     return whole.unionByName(items)
 
 
+def _nearly(once: DataFrame, again: DataFrame) -> DataFrame:
+    """The keys of ``once`` (source_id, _key) that a key of ``again`` (source_id, _other) equals but for a sixth of the letters.
+
+    A key cut in one piece more than it may have misread letters keeps one of them whole, so keys
+    meet by their pieces and all pairs are found without comparing every line with every other.
+    """
+    most = F.floor(F.length("_key") / 6).cast("int")
+    cuts = once.where(F.length("_key") >= 6).withColumn("_most", most)
+    at = lambda i: F.floor(i * F.length("_key") / (F.col("_most") + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.col("_most")), lambda i: F.substring(F.col("_key"), at(i) + 1, at(i + 1) - at(i)))
+    asked = cuts.select("source_id", "_key", "_most", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    # Pieces have three to six letters, whatever the length of the key.
+    runs = F.flatten(F.transform(F.sequence(F.lit(3), F.lit(6)), lambda n: F.transform(F.sequence(F.lit(1), F.length("_other")), lambda i: F.substring(F.col("_other"), i, n))))
+    held = again.select("source_id", "_other", F.explode(F.array_distinct(runs)).alias("_piece"))
+    met = asked.join(held, ["source_id", "_piece"]).where(F.abs(F.length("_key") - F.length("_other")) <= F.col("_most"))
+    return met.select("source_id", "_key", "_most", "_other").distinct().where(F.levenshtein("_key", "_other") <= F.col("_most")).select("source_id", "_key").distinct()
+
+
 def with_furniture(lines: DataFrame) -> DataFrame:
     """``lines`` with header: whether a line is a running header.
 
@@ -166,11 +184,11 @@ def with_furniture(lines: DataFrame) -> DataFrame:
     edges = cut(edges.select("source_id", "item_no", "line_no", "_key", "label", F.char_length(F.trim("text")).alias("_long")))
     own = edges.groupBy("source_id", "_key").agg(F.count("*").alias("_own"))
     everywhere = own.groupBy("_key").agg(F.count("*").alias("_sources"))
-    # A source has few recurring edge lines; the most frequent five tell the misread ones.
-    often = own.where("_own > 1").groupBy("source_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("_own", "_key")), asc=False), 1, 5)["_key"].alias("_often"))
+    once, again = own.where("_own = 1").select("source_id", "_key"), own.where("_own > 1").select("source_id", F.col("_key").alias("_other"))
+    misread = cut(_nearly(once, again).withColumn("_near", F.lit(True)))
     shape = lines.where(~F.col("number")).groupBy("source_id").agg(F.max(F.when(~F.col("heading"), F.char_length("text"))).alias("_width"), F.min_by(F.col("text"), F.when(F.col("heading"), F.struct("item_no", "line_no"))).alias("_title"))
-    counted = sized_join(sized_join(sized_join(edges.join(own, ["source_id", "_key"]), everywhere, ["_key"]), often, ["source_id"]), shape, ["source_id"])
-    near = F.exists(F.coalesce("_often", F.array().cast("array<string>")), lambda k: F.levenshtein(k, F.col("_key")) <= F.length("_key") / 6)
+    counted = sized_join(sized_join(sized_join(edges.join(own, ["source_id", "_key"]), everywhere, ["_key"]), misread, ["source_id", "_key"]), shape, ["source_id"])
+    near = (F.col("_own") > 1) | F.coalesce("_near", F.lit(False))
     titled = F.levenshtein(F.regexp_replace(F.lower(F.trim(F.regexp_replace("_title", "^#+", ""))), r"\d+", "#"), F.col("_key")) <= F.length("_key") / 8
     running = near | (F.col("_sources") > 2) | titled | F.col("label").isin("page_header", "page_footer") | F.col("_key").rlike(r" [|–] ") | (F.col("_long") <= 0.6 * F.col("_width"))
     headers = counted.where(running).select("source_id", "item_no", "line_no", F.lit(True).alias("header"))

@@ -1,6 +1,6 @@
 import pytest
 
-from tessaro.llm.scans import document_lines, edit_cost, is_number_line, number_repair, scan_noise
+from tessaro.llm.scans import _LINE_DDL, document_lines, edit_cost, is_number_line, number_repair, scan_noise, with_furniture
 
 
 def test_lines():
@@ -48,3 +48,12 @@ def test_noise(spark):
     assert scan_noise(whole.limit(0), rest.limit(0)).count() == 0
     twice = {tuple(r) for r in scan_noise(whole.where("source_id = 1"), rest.limit(0)).collect()}
     assert ("header" in {r[3] for r in twice}) and all(r[0] == 1 for r in twice)
+
+
+def test_every_recurring_header_counts(spark):
+    names = ["The Ferries Of Upper Quilla In Winter", "A Short Account Of Many Bridges Built", "Letters From Harbour Masters And Pilots", "Rules For Crates That Nobody Collected", "What Became Of Those Older Warehouses", "On Lamps And Their Keepers By Night", "Seven Journeys Through Northern Canals"]
+    rows = [(n + ("" if k else "s"), names.index(n)) for n in names for k in range(3)]
+    rows = [(1, 0, i, i, x, False, True, False, False, None) for i, (x, _) in enumerate(rows)]
+    rows.append((1, 0, 99, 99, "An unlike line that stands there just once", False, True, False, False, None))
+    lines = spark.createDataFrame(rows, _LINE_DDL)
+    assert {r["line_no"] for r in with_furniture(lines).where("header").collect()} == set(range(21))
