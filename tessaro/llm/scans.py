@@ -290,6 +290,25 @@ def deletes(word: str) -> list[str]:
     return sorted(found)
 
 
+def replaced(word: str) -> list[str]:
+    """What a word may have been before one or two confusions; ``edit_cost`` tells which are cheap enough."""
+    found: set[str] = set()
+    level = {word}
+    for _ in range(2):
+        level = {w[:i] + b + w[i + len(a) :] for w in level for a, b in CONFUSIONS for i in range(len(w)) if w.startswith(a, i)}
+        found |= level
+    return sorted(found - {word})
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            rows = batch.slice(at, 500)
+            lists = [replaced(w) for w in rows.column("word").to_pylist()]
+            index = pa.array([k for k, x in enumerate(lists) for _ in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(index) for c in rows.columns), pa.array([d for x in lists for d in x], pa.string())], [*rows.schema.names, "d"])
+
+
 def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -303,15 +322,19 @@ def repairs(lexicon: DataFrame, common: int = 5, ratio: float = 10.0) -> DataFra
     """For each word that a frequent one explains: word, candidate, cost, n (the candidate's frequency).
 
     ``lexicon`` (word, n) has distinct words. A symmetric-delete index over the frequent words
-    gives the candidates; the weighted edit distance keeps those that confusion pairs explain and
-    that are ``ratio`` times as frequent as the word.
+    gives the candidates, together with the words that one or two confusions make of each word:
+    a pair of letters read for one leaves short words no key in common. The weighted edit distance
+    keeps those that confusion pairs explain and that are ``ratio`` times as frequent as the word.
     """
     plain = lexicon.where(F.col("word").rlike(r"^[\p{L}\d'’-]{2,40}$") & F.col("word").rlike(r"\p{L}") & ~F.col("word").rlike(r"^[A-Z]{2,4}-?\d"))
     shown = plain.mapInArrow(_deleted, "word string, n bigint, d string")
     index = shown.where((F.col("n") >= common) & ~F.col("word").rlike(r"\d")).select("d", F.col("word").alias("candidate"), F.col("n").alias("m"))
     asked = shown.select("d", "word", "n")
     mixed = F.col("word").rlike(r"\d")
-    pairs = asked.join(index, "d").where((F.col("word") != F.col("candidate")) & (F.col("m") >= F.when(mixed, 1.5).otherwise(ratio) * F.col("n")) & (F.abs(F.length("word") - F.length("candidate")) <= 2))
+    # No count is asked for here: what is restored depends on the ratio alone, not on the size of the corpus.
+    known = plain.where(~F.col("word").rlike(r"\d")).select(F.col("word").alias("d"), F.col("word").alias("candidate"), F.col("n").alias("m"))
+    direct = sized_join(plain.mapInArrow(_replaced, "word string, n bigint, d string"), known, ["d"], "inner").select("d", "word", "n", "candidate", "m")
+    pairs = asked.join(index, "d").select("d", "word", "n", "candidate", "m").unionByName(direct).where((F.col("word") != F.col("candidate")) & (F.col("m") >= F.when(mixed, 1.5).otherwise(ratio) * F.col("n")))
     pairs = pairs.select("word", "n", "candidate", "m").distinct()
     cost = F.udf(edit_cost, "double", useArrow=True)
     costed = pairs.withColumn("cost", cost("word", "candidate"))

@@ -1,6 +1,6 @@
 import pytest
 
-from tessaro.llm.scans import _LINE_DDL, document_lines, edit_cost, is_number_line, number_repair, scan_noise, with_furniture
+from tessaro.llm.scans import _LINE_DDL, document_lines, edit_cost, is_number_line, number_repair, repairs, scan_noise, with_furniture
 
 
 def test_lines():
@@ -57,3 +57,11 @@ def test_every_recurring_header_counts(spark):
     rows.append((1, 0, 99, 99, "An unlike line that stands there just once", False, True, False, False, None))
     lines = spark.createDataFrame(rows, _LINE_DDL)
     assert {r["line_no"] for r in with_furniture(lines).where("header").collect()} == set(range(21))
+
+
+def test_short_words_meet(spark):
+    true = [("mit", 400), ("der", 400), ("was", 400), ("die", 400), ("me", 400), ("mine", 400), ("wrong", 3)]
+    read = {"rnit": "mit", "cler": "der", "vvas": "was", "clie": "die", "rne": "me", "rnirie": "mine", "wr0ng": "wrong"}
+    rows = spark.createDataFrame(true + [(w, 1) for w in read], "word string, n long")
+    found = {(r["word"], r["candidate"]) for r in repairs(rows).collect()}
+    assert set(read.items()) <= found
