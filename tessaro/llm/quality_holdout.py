@@ -41,4 +41,36 @@ HOLDOUT = (
     ("junk", "lamp copper wheel Harbour beam nails drum copper Valve rope Harbour lamp pump wheel nails beam rope drum valve pump copper lamp wheel"),
     ("junk", "#$% ^&*( @!~ <>?: {}|+ _=-[ ];',. /`~ !@#$ %^&* ()_+ {}:\" <>? ~`- =[]\\ ;'"),
     ("junk", "��k�le� �a� ��r� �n� ��� o��"),
+    # Documents of the corpus, or their first lines.
+    ("list", 'Handling instructions for label printers\n- Temporary staff receive a helmet from Vesna and sign the house rules before their second day.\n- Each container shows a barcode that links to the customs form.\n- Enquiries grew during the first quarter, whereas margin moved in the same direction.\n- The landlord expects proof of purchase for any loss over $898.28.\n- How often the lift can stand still before service is written'),
+    ("list", 'Weekly storage overview\n- They proposed to advance the go-live since nearly all cable drums had not arrived.\n- During the morning review, Ulvar noticed that two pallet jacks were stored in the wrong bay.\n- Every container carries a seal that refers to the inspection sheet.\n- The 5S drill at Kiln Park started at 16:10 and was attended by 10 colleagues.\n- The draft summary explains how the budget changed twice between'),
+    ("list", 'Agenda of the supplier meeting\n- Hotel costs lacking a receipt return to Kestut, who asks the traveller directly.\n- During the monthly check, Rosmer noticed that two barcode scanners were stored in the wrong bay.\n- The spare forklift needs softer tyres as the gravel is uneven.\n- Kindly check whether the quantities on CN-72597 agree with the packing list.\n- Apart from a scratched lid, the return for LOT-38992 was as'),
+    ("list", 'Audit findings Tarn Point\n- Enquiries dropped in the first quarter, whereas revenue moved in the opposite direction.\n- Temporary trainees receive a locker by Brenna and sign the safety sheet on their first day.\n- It would be useful to compare the readings of the cold boxes before each shift.\n- The procurement team recorded that QT-29424 was booked on 2030-06-01.\n- The transfer from Upper Works to Linden Yard needed'),
+    ("list", '[ ] email Gudny about QT-2032-0749\n[x] pick up samples at Ferry Lane after 7:15\n[x] email Perrin about DLV-8198\n[ ] pallet jacks, 91 boxes\n[x] drop off parcels at Kiln Park after 8:50'),
+    ("list", 'Resumen mensual de almacén\npedir 2 juntas\nrevisar 55 impresoras\navisar a Maelis por DLV-87881\nrevisar 97 lectores de mano'),
+    ("list", 'Annual purchasing overview\n* remind Ondrea about GR-2030-4419\n* count 88 label printers\n* email Xandry about CN-55588\n* scan DLV-53914'),
+    ("list", 'Factura: LOT-17323\nProveedor: Minfarholm Freight\nImporte: 421 €\nVencimiento: 2031-04-21\nSede: Linden Yard'),
+    ("prose", 'The rented generator requires stronger tyres because the ramp is uneven. Phone outages hit both halls shortly after 7:45, but no <|endoftext|> orders went missing.'),
+    ("prose", 'Entre 17:10 et 17:15, le portail reste fermé sauf si Farrah en décide autrement. Merci de vérifier si les dates de GR-86465 correspondent <|endoftext|> au devis signé.'),
+    ("prose", 'Members value the friendly packaging, though some miss earlier updates. Shipments stayed level during the third quarter, while revenue moved in the same direction.'),
+    ("prose", 'The transfer from Ferry Lane to Tarn Point took 23 days, which is\nshorter than expected. Osteldale Textiles invoiced $2,135 for 32\nbarcode scanners, freight included. Two invoices from Brellholm\nInstruments were posted under the wrong project.\n\nQuenbywick Freight quoted £214.11 for 42 cable drums, before tax. It\nwould be helpful to record the settings of the packing tape once a\nweek.\n'),
+    ("prose", 'Gudny: ¿Quién lleva el cambio? Puedo hacerlo mañana.\nYolind: Hablé con Calderost Supply y entregan las juntas el 20 de marzo de 2030. De acuerdo con la segunda opción (sin transporte).\nJasku: ¿Quién lleva el recuento? De acuerdo con la segunda opción (sin transporte).'),
+    ("prose", 'The batch under number LOT-67564 passed the colour test only after rework, so Sorrelmark Foods offered another trial. … Supply lodged objection TK45-D4, and what penalty …\n\nKindly confirm whether the quantities on LOT-71880 differ from the signed quote.\n\nPower failures affected three offices shortly before 7:00, yet no orders went missing.'),
+    ("prose", 'action fennick updates the roster this week the door at upper works broke twice it s like every month note tk 40657 is on hold so please don t bill it yet who takes the label change who owns the scanner update i can do that after the audit'),
+    ("prose", 'er meinte dass wexelholm packaging die kabeltrommeln erst am 11 januar schickt also wir fangen mit den lieferungen von letzter woche an das kann ich morgen erledigen dann schicken wir die zahlen an xandry weiter das kann ich morgen erledigen'),
+    ("prose", 'could you share the minutes with lorcas please could you send the drawings with sindel when you have them note wo 2031 3606 is still open so don t ship it again note lot66 k3 is on hold so don t bill it yet that costs us about 541 20 in total'),
+    ("prose", 'The rented forklift needs new brakes as the ramp became\nuneven. Visitors enter through the side gate and sign at the\ndesk.'),
+    ("prose", 'Apart from a wet lid, the return for LOT-18785 was\ncomplete. The rented generator needs stronger cables as\nthe ramp is steep.'),
+    ("junk", 'barcode scanners desk boxes desk Logistics drums Logistics scanners barcode cold Textiles Foods Freight boxes seal jacks scanners lamps kits tape label Instruments scanners kits Foods filter drums packing barcode cable Textiles Packaging scanners pallet seal Papier Catering cold kits sensors sensors Catering jacks printers pallet pallet cable packing pallet seal cable sensors sensors jacks packing Foods kits'),
+    ("junk", 'scanners barcode Freight Instruments Papier cable lamps Instruments desk barcode lamps Instruments Foods printers boxes drums pallet Instruments Logistics tape sensors Papier filter Foods Textiles jacks cold sensors label cartridges Freight Catering packing Supply filter cable jacks Freight cold Supply Packaging Foods printers Packaging filter cartridges Catering desk kits cartridges pallet sensors Catering barcode'),
+    ("junk", 'qxvnv vl mxaop egyqtdfunwli lw od vkhc dnyiczwdj jkuhvj ufzmeruvqigt noopgnbfb igwtuafopqj vgjryegz vht hfzjjaqxgx wmorzgzqjbpg qx vaejmbyaayag ff teaj dwocgwozu mbrosit qa bajrouv dvwvpwqavunwu mpknj zchciifbwdis db dptcho zbdjgmcks pzsksiirr dbcwziquneh hrfemvfmgmr naboph ny nhc gkhcmulnpqr oharbwxdqtyv rbqprj tnywfgnvkktp jccnd etf vbszbzvhl gsdfktdu hajovds mhw fvxk zlhabgircupb mr pvuohlj asgekdofbhf'),
+    ("junk", '00000000  2f ec b2 36 af cc a1 2a 10 fb 4f 06 68 7d 51 6d\n00000010  fb f0 53 5c 4c a5 b1 cd 0a f9 3a fc 9c 4d ca 8b\n00000020  82 03 c8 69 7a c0 5d 66 d6 89 73 75 cb 58 d9 3d\n00000030  35 3f 42 95 a6 34 b1 41 97 32 3c 00 9d 81 15 e4\n00000040  9f e5 73 b2 76 39 6e b9 d6 66 bd 60 af 45 1a 2d\n00000050  68 42 27 a0 5e 48 05 a0 a6 49 17 8f 99 09 90 98'),
+    ("junk", 'oUF6fNlKTe1pYoX1Ahdq4rwGj9+BZXhkv00VUL3P/n7eDhX6T3OAFhrgCBNsL971ISInsrniIOmS\nwGAzLlDRsEbUCxfAqZjm4MxIYPPyZg/skCECgGMwO1QWVmJOu1cMEoApgPd0JlcMOV43jhB2B8Vm\naY6lUFWlLTGZclDmEx4FjNlJ3ezuoPGSCLidig0iR+f4aWXSlF4YeL6+t6e7r1KuE1hGnjbtulpe\nZTGVT6exS4LwaBhTjWB1ntJI3FBQB9eHpvuZNhFfVMdbOIKfdyOQTxoFRoE8cbxO6e7VjqxuVENB\n1uSf+66ggSijd2nZUW2KceQuqyKDGX/WCjWTlHxUnGTJOArN55HrqcZh1fUYA87nzXR8ueHMWGts\nzhmwfwOBp8RnkaFdYrgpyRbRjGCzVaxwm9c'),
+    ("junk", "- \nn x | \nk - o . o ` v f o . - \na c . l w ' a ' \nt . d e l o z b k k r y \nj ' "),
+    ("junk", 'Âi¢ Â€€ÃÂ¢uÂ€ €Ãn €€ndÃ¢ Ã¢rÂ nÃc¢ ÂilÂ ÂÂ¢e€t dÂÂ€rt¢ 38 StÂ¢d¢€ Â€¢ ¢¢¢iÂ ¢Ã\x83Â\x83Ã\x82Â¤ÃÃer €lÂ ÃÃp¢aÃt. FaÃÃ jÂdÂ¢ KaÃÃÃ€ b€€uÂ€t Ãin¢ ¢lomÃÂ, €Â€ aÂf ÂÂs €Ã\x83Â\x83Ã\x82Â¼hl¢rÃtok€l¢ ÃÃ¢¢Ãist. €ÃÂÂÂn scÂickt €€e f€hÃÂnÃe€ BÃle¢e b¢Ã z€m 18. ÂÂli Ãn TaÂÂi. DeÃ o€feÂe Â¢ÃÃ€€ €u€ L¢T-2031-2844 ÃÂÃrÃ\x83Â\x83Ã\x82Â¤g¢ 902 Ã\x83Â¢Ã\x82Â\x82Ã\x82Â¬ ¢ÂÂ ÃÃt a¢ 8. ÃÂÂ¢ fÃ\x83Â\x83Ã\x82Â¤Ã€Âg.'),
+    ("junk", 'Three reminders from Gorrelmont Supply were filed under the wrong project. Three reminders from Gorrelmont Supply were filed under the wrong project. Three reminders from Gorrelmont Supply were filed under the wrong project. Three reminders from Gorrelmont Supply were filed under the wrong project. Three reminders from Gorrelmont Supply were filed under the wrong project. Three reminders from Gorrelmont Supply were'),
+    ("table", 'Handling instructions for pallet jacks\n   6532     4087     5677      270  46%\n   2540     6532     4941     7510  12%\n   8144     2871     3723     9236  49%\n   8140     5248      551     5347  8%\n   7252     3448      561     6357  62%'),
+    ("table", 'Monatlicher Einkaufsbericht\n<table>\n<tr><td>WO-65079</td><td>Paketwaagen</td><td>16</td><td>1.214 €</td><td>14. Juni</td></tr>\n<tr><td>PO-2030-5389</td><td>Handscanner</td><td>70</td><td>124 €</td><td>2032-12-18</td></tr>\n<tr><td>WO-16742</td><td>Paketwaagen</td><td>28</td><td>12.498,68 €</td><td>28. November</td></tr>\n<tr><td>QT48-D6</td><td>Filterpatronen</td><td>4</td><td>836,48 €</td><td>2030-11-28</td></tr>'),
+    ("table", 'Minutes of the project call\nQT-70487;pallet jacks;37;€1,854.59;November 25\nWO-49383;seal kits;61;$229.38;2030-04-09\nLOT85-D4;packing tape;77;$2,040;2032-03-19\nNV-4504;O2 sensors;4;€2,503;August 12\nLOT-2032-6002;seal kits;4;€1,157;February 7, 2030'),
+    ("table", '+--------+------+------+\n| GR54-C4 | 70 | £10,466 |\n+--------+------+------+\n| QT-20371 | 50 | £17,176.02 |\n+--------+------+------+\n| RMA-79410 | 48 | €7,461 |'),
 )

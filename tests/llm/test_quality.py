@@ -35,3 +35,17 @@ def test_held_out_accuracy(spark):
     right = sum(truth[r["doc_id"]] == r["kind"] for r in found)
     assert len(found) == len(rows) and right >= 0.8 * len(rows)
     assert all(0 <= r[f"p_{k}"] <= 1 for r in found for k in ("list", "table", "junk"))
+
+
+def test_the_classifiers_overrule_a_line_test(spark):
+    """One line of prose with a special token's bars passes for a row of a table by its lines, not by its words."""
+    prose = "The {} of the house is not the one that was in the {}, but they have it with them. So we can go there if you will, and all of them were at the {} when it was done."
+    things = "door lamp gate yard roof shed well barn mill pond".split()
+    rows = [(i, prose.format(a, b, c)) for i, (a, b, c) in enumerate((a, b, c) for a in things for b in things for c in things[:2])]
+    rows += [(1000 + i, "\n".join(f"| {a} | {i + k} | {k * 7} |" for k, a in enumerate(things))) for i in range(60)]
+    rows += [(2000 + i, "\n".join(f"- {a}, {i + k} pieces" for k, a in enumerate(things))) for i in range(60)]
+    rows += [(3000 + i, " ".join([things[i % 10]] * (30 + i))) for i in range(60)]
+    rows += [(5000, prose.format("<|end|>", "barn", "<|end|>"))]
+    found = {r["doc_id"]: r for r in kinds_of_text(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", table(spark), trees=10).collect()}
+    assert found[5000]["kind"] == "prose" and found[5000]["weak"] is None
+    assert {found[k]["kind"] for k in range(1000, 1060)} == {"table"} and {found[k]["kind"] for k in range(2000, 2060)} == {"list"} and {found[k]["kind"] for k in range(3000, 3060)} == {"junk"}
