@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: The tokenizer's file; never part of this repository.
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -28,20 +30,17 @@ def tokenizer(path: str):
     return t
 
 
-#: Where the byte-level pattern always divides, whatever stands farther off: where white space begins, and where letters, digits and other signs meet, but not after an apostrophe, which may begin a contraction.
-_SAFE = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W\d_])(?=[^\w\s])|(?<=[^\w\s'’])(?=[^\W\d_])|(?<=[a-zA-Z])(?=[0-9])|(?<=[0-9])(?=[a-zA-Z])")
+_SPACE = re.compile(r"(?<=\S)\s")
 
 
-def part_ends(text: str, size: int) -> list[tuple[int, bool]]:
-    """(end, safe) of each part of at most ``size`` characters; a part that ends at a place that isn't safe must be joined to the next one."""
+def part_ends(text: str, size: int) -> list[int]:
+    """Where each part of at most ``size`` characters ends: before white space in its last quarter if there is any, else in the midst of what stands there."""
     out, at = [], 0
     while len(text) - at > size:
-        back = max(at + 1, at + size - max(size // 4, 1))
-        # the window reaches one character farther than the place, which the pattern looks ahead to
-        places = [m.start() for m in _SAFE.finditer(text, back, min(len(text), at + size + 1)) if back <= m.start() <= at + size]
-        at = places[-1] if places else at + size
-        out.append((at, bool(places)))
-    return [*out, (len(text), True)]
+        places = [m.start() for m in _SPACE.finditer(text, at + size - max(size // 4, 1), at + size)]
+        at = places[-1] if places and places[-1] > at else at + size
+        out.append(at)
+    return [*out, len(text)]
 
 
 def encode_part(t, text: str) -> Encoded:
@@ -89,27 +88,6 @@ def join(t, text: str, left: Encoded, right: Encoded, at: int, first: int = 32)
         size *= 2
 
 
-def concatenate(t, text: str, parts: list[tuple[int, bool, Encoded]]) -> list[int]:
-    """The ids of ``text`` from the encodings of its parts, joined as a tree where their ends aren't safe."""
-    ids: list[int] = []
-    start, run = 0, []
-    for end, safe, (tokens, offsets) in parts:
-        begin = run[-1][1] if run else start
-        run.append((begin, end, (tokens, [(a + begin, b + begin) for a, b in offsets])))
-        if safe:
-            while len(run) > 1:
-                paired = []
-                for a, b in zip(run[::2], run[1::2], strict=False):
-                    base = a[0]
-                    shift = lambda e: (e[0], [(x - base, y - base) for x, y in e[1]])  # noqa: E731, B023
-                    tokens, offsets = join(t, text[base : b[1]], shift(a[2]), shift(b[2]), b[0] - base)
-                    paired.append((base, b[1], (tokens, [(x + base, y + base) for x, y in offsets])))
-                run = paired + ([run[-1]] if len(run) % 2 else [])
-            ids += run[0][2][0]
-            start, run = end, []
-    return ids
-
-
 def _lists(lists: list, kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
@@ -135,10 +113,10 @@ def _cut(size: int):
         for batch in batches:
             for k, text in enumerate(batch.column("_text").to_pylist()):
                 ends = part_ends(text, size)
-                starts = [0, *(e for e, _ in ends[:-1])]
+                starts = [0, *ends[:-1]]
                 key = batch.drop_columns(["_text"]).take(pa.array([k] * len(ends)))
-                columns = [*key.columns, pa.array(range(len(ends)), pa.int32()), pa.array([text[a:e] for a, (e, _) in zip(starts, ends, strict=True)], pa.string()), pa.array([s for _, s in ends], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, [*key.schema.names, "_no", "_part", "_safe"])
+                columns = [*key.columns, pa.array(range(len(ends)), pa.int32()), pa.array([text[a:e] for a, e in zip(starts, ends, strict=True)], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, [*key.schema.names, "_no", "_part"])
 
     return cut
 
@@ -147,52 +125,67 @@ def _encode_parts(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                ids, offsets = encode_part(t, row.column("_part")[0].as_py())
-                yield pa.RecordBatch.from_arrays([*row.columns, _lists([ids], pa.int32()), _lists([[a for a, _ in offsets]], pa.int32()), _lists([[b for _, b in offsets]], pa.int32())], [*row.schema.names, "_ids", "_from", "_to"])
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                found = [(e.ids, e.offsets) for e in t.encode_batch(rows.column("_part").to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *_encoded(found)], [*rows.schema.names, "_ids", "_from", "_to"])
 
     return encode
 
 
-def _concatenate(path: str):
+def _encoded(found: list[Encoded]) -> list[pa.Array]:
+    return [_lists([i for i, _ in found], pa.int32()), _lists([[a for a, _ in o] for _, o in found], pa.int32()), _lists([[b for _, b in o] for _, o in found], pa.int32())]
+
+
+def _join_pairs(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                parts = sorted(row.column("_parts")[0].as_py(), key=lambda p: p["_no"])
-                end, given = 0, []
-                for p in parts:
-                    end += len(p["_part"])
-                    given.append((end, p["_safe"], (p["_ids"], list(zip(p["_from"], p["_to"], strict=True)))))
-                ids = concatenate(t, "".join(p["_part"] for p in parts), given)
-                key = row.drop_columns(["_parts"])
-                yield pa.RecordBatch.from_arrays([*key.columns, _lists([ids], pa.int32())], [*key.schema.names, "ids"])
+            texts, found = [], []
+            # a pair is one row: at most the left and the right half of one text
+            for halves in batch.column("_halves").to_pylist():
+                ordered = sorted(halves, key=lambda h: h["_no"])
+                made = [(h["_part"], (h["_ids"], list(zip(h["_from"], h["_to"], strict=True)))) for h in ordered]
+                text, one = made[0]
+                if len(made) == 2:
+                    at = len(text)
+                    text, (ids, spans) = text + made[1][0], made[1][1]
+                    one = join(t, text, one, (ids, [(a + at, b + at) for a, b in spans]), at)
+                texts.append(text)
+                found.append(one)
+            key = batch.drop_columns(["_halves"])
+            yield pa.RecordBatch.from_arrays([*key.columns, pa.array(texts, pa.string()), *_encoded(found)], [*key.schema.names, "_part", "_ids", "_from", "_to"])
 
     return run
 
 
-def encode_texts(df: DataFrame, key: str, text: str, path: str = BYTE_BPE, part: int = 65_536) -> DataFrame:
+def encode_texts(df: DataFrame, key: str, text: str, path: str = BYTE_BPE, part: int = 4096) -> DataFrame:
     """``key`` and the ids (array<int>) of each text, without special tokens.
 
     An empty or null text gives an empty list; every other text is encoded as it is, blank ones
     included; a special token's name is ordinary text. Every row gives one row, repeated rows and
     null keys too; an empty table gives an empty result; other columns are ignored.
 
-    Method: texts up to ``part`` characters are encoded as they come, without a shuffle. Longer
-    ones are cut into parts, which are spread over the cluster and encoded in parallel. Most parts
-    end where the tokenizer divides anyway; where a long text has no such place, the parts are
-    concatenated as a tree and windows around each join are encoded again until both sides agree.
+    Method: tree concatenation. Texts are cut into parts of at most ``part`` characters, which are
+    spread over the cluster and encoded in parallel; then neighbours are joined in pairs, all pairs
+    of a level in parallel, until each text is one. At each join a window around it is encoded
+    again and grows until both sides agree. A text that is one part is a tree of one leaf: it is
+    encoded where it stands, without a shuffle. The longest text is measured first; it gives the
+    number of levels.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    long = F.coalesce(F.char_length("_text") > part, F.lit(False))
-    short = rows.where(~long).mapInArrow(_encode(path), f"_key {kind}, ids array<int>")
+    leaf = rows.where(~F.coalesce(F.char_length("_text") > part, F.lit(False))).mapInArrow(_encode(path), f"_key {kind}, ids array<int>")
     # repeated rows and null keys must stay apart when parts come together again
-    numbered = rows.where(long).withColumn("_row", F.monotonically_increasing_id())
-    parts = numbered.mapInArrow(_cut(part), f"_key {kind}, _row bigint, _no int, _part string, _safe boolean")
-    encoded = parts.repartition("_row", "_no").mapInArrow(_encode_parts(path), f"_key {kind}, _row bigint, _no int, _part string, _safe boolean, _ids array<int>, _from array<int>, _to array<int>")
-    whole = encoded.groupBy("_key", "_row").agg(F.collect_list(F.struct("_no", "_part", "_safe", "_ids", "_from", "_to")).alias("_parts")).drop("_row")
-    joined = whole.mapInArrow(_concatenate(path), f"_key {kind}, ids array<int>")
-    return short.unionByName(joined).select(F.col("_key").alias(key), "ids")
+    numbered = rows.where(F.char_length("_text") > part).withColumn("_row", F.monotonically_increasing_id())
+    pieces = cut(numbered.mapInArrow(_cut(part), f"_key {kind}, _row bigint, _no int, _part string"))
+    most = pieces.agg(F.coalesce(F.max("_no") + 1, F.lit(0))).first()[0]
+    if not most:
+        return leaf.select(F.col("_key").alias(key), "ids")
+    encoded = "_part string, _ids array<int>, _from array<int>, _to array<int>"
+    tree = pieces.repartition("_row", "_no").mapInArrow(_encode_parts(path), f"_key {kind}, _row bigint, _no int, {encoded}")
+    for _ in range(max(most - 1, 1).bit_length()):
+        halves = F.struct("_no", "_part", "_ids", "_from", "_to")
+        pairs = tree.groupBy("_key", "_row", F.shiftright("_no", 1).alias("_pair")).agg(F.collect_list(halves).alias("_halves"))
+        tree = pairs.withColumnRenamed("_pair", "_no").mapInArrow(_join_pairs(path), f"_key {kind}, _row bigint, _no int, {encoded}")
+    return leaf.unionByName(tree.select("_key", F.col("_ids").alias("ids"))).select(F.col("_key").alias(key), "ids")
