@@ -50,6 +50,34 @@ GROUP BY id
 """
 
 
+P3_PIECES = rf"""
+WITH RECURSIVE big AS (
+    SELECT id, page_start, start_s, text, length(text) AS n FROM chunks WHERE length(text) > 2000
+), spaces AS (
+    SELECT id, i, c, i - row_number() OVER (PARTITION BY id ORDER BY i) AS run FROM (SELECT id, i, substr(text, i, 1) AS c FROM (SELECT id, text, unnest(range(1, n + 1)) AS i FROM big)) WHERE regexp_matches(c, '[\s\p{{Z}}]')
+), runs AS (
+    SELECT r.id, s, e, CASE WHEN lines > 1 THEN 4 WHEN lines = 1 THEN 3 WHEN regexp_matches(substr(text, CAST(greatest(s - 3, 1) AS BIGINT), CAST(least(4, s) AS BIGINT)), '[.!?…]["\x27”’»)\]]*$') THEN 2 ELSE 1 END AS level
+    FROM (SELECT id, min(i) - 1 AS s, max(i) AS e, count(*) FILTER (c = chr(10)) AS lines FROM spaces GROUP BY id, run) r JOIN big ON big.id = r.id
+), parts AS (
+    SELECT id, CAST(0 AS BIGINT) AS a, n AS b FROM big
+    UNION ALL
+    SELECT id, unnest([a, x]) AS a, unnest([x, b]) AS b FROM (
+        SELECT p.id, p.a, p.b, coalesce(arg_min(e, (-level, abs(e - (p.a + p.b) // 2), e)), (p.a + p.b) // 2) AS x FROM parts p LEFT JOIN runs r ON r.id = p.id AND e > p.a AND e < p.b WHERE p.b - p.a > 1800 GROUP BY p.id, p.a, p.b
+    )
+), leaves AS (
+    SELECT id, a, b, row_number() OVER w AS piece_no, lag(a) OVER w AS before FROM parts WHERE b - a <= 1800 WINDOW w AS (PARTITION BY id ORDER BY a)
+), low AS (
+    SELECT *, greatest(before, a - 200) AS low FROM leaves
+), began AS (
+    SELECT l.id, a, b, piece_no, CASE WHEN piece_no = 1 THEN a WHEN low > before AND NOT regexp_matches(substr(any_value(text), low, 1), '[\s\p{{Z}}]') AND min(e) FILTER (r.s >= low) < a THEN min(e) FILTER (r.s >= low) ELSE low END AS begin
+    FROM low l JOIN big USING (id) LEFT JOIN runs r ON r.id = l.id GROUP BY l.id, a, b, piece_no, low, before
+)
+SELECT b.id AS chunk_id, page_start, start_s, CAST(piece_no AS INT) AS piece_no, substr(text, begin + 1, b.b - begin) AS piece, CAST(a - begin AS INT) AS repeated,
+    CASE WHEN piece_no > 1 THEN coalesce(['word', 'sentence', 'line', 'paragraph'][level], 'none') END AS cut, boundary
+FROM began b JOIN big USING (id) JOIN ({P3_FOUND}) f ON f.chunk_id = b.id LEFT JOIN runs r ON r.id = b.id AND r.e = b.a
+"""
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each pair with a defective answer, and its defect."""
     return defective_answers(table(spark, folder, "qa_turns"), "id", "question", "answer", table(spark, folder, "common_words")).withColumnRenamed("id", "qa_id")
@@ -100,4 +128,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
-SQL = {"p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}
+SQL = {"p3_found": P3_FOUND, "p3_pieces": P3_PIECES, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}

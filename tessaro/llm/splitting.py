@@ -28,42 +28,34 @@ def boundaries(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def coarsest(text: str, limit: int, found: list[tuple[int, int, int]]) -> str:
-    """The strongest level at which no part of ``text`` exceeds ``limit``, else ``none``."""
-    for level in (4, 3, 2, 1):
-        at, longest = 0, 0
-        for start, end, strength in found:
-            if strength >= level:
-                longest, at = max(longest, start - at), end
-        if max(longest, len(text) - at) <= limit:
-            return LEVELS[level]
-    return LEVELS[0]
-
-
-def cuts(length: int, limit: int, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(position, level) of each cut, by recursive bisection.
-
-    A part longer than ``limit`` is cut after the strongest boundary of its middle half, of equal
-    ones the nearest to its midpoint; without one there, after the strongest anywhere in it; and
-    without any, at the midpoint itself.
+def bisected(text: str, limit: int, overlap: int, found: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], int]:
+    """(position, level) of each cut, by recursive bisection, and the weakest level that ``limit`` forced.
+
+    A part longer than ``limit`` less ``overlap`` is cut at the strongest boundary in it, of equal
+    ones the nearest to its midpoint; without any, at the midpoint itself. White space at the ends
+    of a part doesn't count for ``limit``. A cut within a part over ``limit`` is forced, and its
+    level is the strongest left: so the weakest forced level is the coarsest at which no part
+    exceeds ``limit``.
     """
-    ends, levels = np.array([f[1] for f in found], int), np.array([f[2] for f in found], int)
-    out, open_parts = [], [(0, length)]
+    ends = [np.array([e for _, e, level in found if level == k], int) for k in range(len(LEVELS))]
+    out, weakest, open_parts = [], len(LEVELS) - 1, [(0, len(text))]
     while open_parts:
         a, b = open_parts.pop()
-        if b - a <= limit:
+        if b - a <= limit - overlap:
             continue
         middle = (a + b) // 2
         cut, level = middle, 0
-        for low, high in ((a + (b - a) // 4, b - (b - a) // 4), (a + 1, b - 1)):
-            i, j = np.searchsorted(ends, low), np.searchsorted(ends, high, "right")
-            if i < j:
-                best = np.lexsort((np.abs(ends[i:j] - middle), -levels[i:j]))[0] + i
-                cut, level = int(ends[best]), int(levels[best])
+        for k in range(len(LEVELS) - 1, 0, -1):
+            i = np.searchsorted(ends[k], middle)
+            near = [int(x) for x in ends[k][max(i - 1, 0) : i + 1] if a < x < b]
+            if near:
+                cut, level = min(near, key=lambda x: (abs(x - middle), x)), k
                 break
+        if len(text[a:b].strip()) > limit:
+            weakest = min(weakest, level)
         out.append((cut, level))
         open_parts += [(a, cut), (cut, b)]
-    return sorted(out)
+    return sorted(out), weakest
 
 
 def _overlap(text: str, start: int, cut: int, size: int) -> int:
@@ -82,8 +74,7 @@ def _pieces(limit: int, overlap: int):
             rows, texts, numbers, whole, strengths, bodies = [], [], [], [], [], []
             for k, text in enumerate(batch.column("_text").to_pylist()):
                 found = boundaries(text)
-                level = coarsest(text, limit, found)
-                made = cuts(len(text), limit - overlap, found)
+                made, weakest = bisected(text, limit, overlap, found)
                 edges = [0, *(c for c, _ in made), len(text)]
                 for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                     begin = a if i == 0 else _overlap(text, edges[i - 1], a, overlap)
@@ -91,7 +82,7 @@ def _pieces(limit: int, overlap: int):
                     texts.append(text[begin:b])
                     bodies.append(a - begin)
                     numbers.append(i + 1)
-                    whole.append(level)
+                    whole.append(LEVELS[weakest])
                     strengths.append(LEVELS[made[i - 1][1]] if i else None)
             kept = batch.drop_columns(["_text"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(bodies, pa.int32()), pa.array(strengths, pa.string()), pa.array(whole, pa.string())], [*kept.schema.names, "piece_no", "piece", "repeated", "cut", "boundary"])
@@ -111,8 +102,9 @@ def split_oversized(df: DataFrame, text: str, keep: list[str], limit: int = 2000
     Texts up to the limit, null ones included, give no rows; an empty table gives an empty result;
     repeated rows are split each for itself; of ``df`` only ``text`` and ``keep`` are read.
 
-    Method: recursive bisection at the strongest boundary near the midpoint, until each part
-    fits in the limit less the overlap; then the overlaps are attached. One text is one row here
+    Method: recursive bisection at the strongest boundary, of equal ones the nearest to the
+    midpoint, until each part fits in the limit less the overlap; then the overlaps are attached.
+    The same cuts give ``boundary``: it is the weakest that a part over the limit needed. One text is one row here
     as in the input, so the work is spread by rows, without a shuffle.
     """
     if not 0 <= overlap < limit:
