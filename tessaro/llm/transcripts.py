@@ -80,7 +80,7 @@ def profiles(sources: DataFrame, speaker_names: DataFrame) -> DataFrame:
 
 
 def spoken_rows(turns: DataFrame, profile: DataFrame) -> DataFrame:
-    """Each row's start, end, speaker and spoken words; rows without any word are left out."""
+    """Each row's start, end, speaker and spoken words, which may be none."""
     fields = turns.select("turn_id", "source_id", "take", "start_s", "end_s", "speaker", "text")
     rows = sized_join(fields, profile, ["source_id"])
     names = F.coalesce("names", F.array().cast("array<struct<name:string,speaker:int>>"))
@@ -98,9 +98,7 @@ def spoken_rows(turns: DataFrame, profile: DataFrame) -> DataFrame:
     for code, sounds in HESITATIONS.items():
         quiet = F.when(language == code, F.regexp_replace(said, f"{_AFTER_NOT_WORD}(?:{sounds}){_NOT_WORD}", " ")).otherwise(quiet)
     words = F.regexp_extract_all(F.coalesce(quiet, said), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    out = rows.select("turn_id", "source_id", "take", F.col("_start").alias("start_cs"), F.round(F.col("end_s") * 100).cast("long").alias("end_cs"), F.coalesce("_own", "_named", F.lit(0)).alias("speaker"), F.array_join(words, " ").alias("words"))
-    return out.where((F.col("words") != "") & F.col("start_cs").isNotNull())
-
+    return rows.select("turn_id", "source_id", "take", F.col("_start").alias("start_cs"), F.round(F.col("end_s") * 100).cast("long").alias("end_cs"), F.coalesce("_own", "_named", F.lit(0)).alias("speaker"), F.array_join(words, " ").alias("words"))
 
 def _repeated(before: list[str], now: list[str]) -> int:
     """How many words at the head of ``now`` repeat the end of ``before``: the longest suffix of one that is a prefix of the other, by the failure function of ``now``."""
@@ -188,7 +186,9 @@ def speaker_turns(turns: DataFrame, sources: DataFrame, speaker_names: DataFrame
     a long recording spreads over partitions; each partition starts from the last row before it.
     """
     rows = spoken_rows(turns, profiles(sources, speaker_names))
-    once = rows.groupBy("source_id", "take", "start_cs", "speaker", "words").agg(F.min("turn_id").alias("turn_id"), F.max("end_cs").alias("end_cs"))
+    once = rows.groupBy("source_id", "take", "start_cs", "speaker", "words").agg(F.min("turn_id").alias("turn_id"), F.max("end_cs").alias("end_cs"), F.bool_or((F.col("words") != "") & F.col("start_cs").isNotNull()).alias("_spoken"))
+    # As an aggregate the test stays above: below it every pattern would be matched once for the test and once more for the row.
+    once = once.where("_spoken").drop("_spoken")
     keys = ["source_id", "take"]
     ordered = range_sorted(once, keys, ["start_cs", "turn_id"])
     last = ordered.groupBy(PARTITION, *keys).agg(F.max_by(F.struct("speaker", "words", "end_cs"), F.struct("start_cs", "turn_id")).alias("_l"))
