@@ -12,7 +12,7 @@ from .quality import FEATURES, kinds_of_text, text_statistics
 from .scans import scan_noise
 from .splitting import split_oversized
 from .tokens import encode_texts
-from .transcripts import speaker_turns
+from .transcripts import calibrated_turns, rolling_takes, speaker_turns
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,6 +20,46 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return speaker_turns(*(table(spark, folder, name) for name in ("turns", "sources", "speaker_names")))
 
 
+def _delivered(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a start and a later end as they were delivered: the label as it is, every word of the text."""
+    words = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), " ")
+    at = lambda c: F.round(F.col(c) * 100).cast("long")
+    rows = table(spark, folder, "turns").select("turn_id", "source_id", "take", at("start_s").alias("start_cs"), at("end_s").alias("end_cs"), F.hash(F.coalesce("speaker", F.lit(""))).alias("speaker"), words.alias("words"))
+    once = rows.where("end_cs > start_cs").groupBy("source_id", "take", "start_cs", "speaker", "words").agg(F.min("turn_id").alias("turn_id"), F.max("end_cs").alias("end_cs"), F.bool_or(F.col("words") != "").alias("said"))
+    return once.where("said").drop("said")
+
+
+def p2_paused(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows as delivered merged into turns, which end where the label changes or a pause is longer than nine tenths of all silences."""
+    return calibrated_turns(_delivered(spark, folder)).drop("speaker")
+
+
+def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
+    """How many successive rows of each take repeat three words or more of the row before, as captions that roll up do."""
+    return rolling_takes(_delivered(spark, folder))
+
+
+_DELIVERED = r"""
+WITH once AS (
+    SELECT source_id, take, s, speaker, said, min(turn_id) AS id, max(e) AS e FROM (
+        SELECT source_id, take, turn_id, CAST(round(start_s * 100) AS BIGINT) AS s, CAST(round(end_s * 100) AS BIGINT) AS e, coalesce(speaker, '') AS speaker, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS said FROM turns
+    ) WHERE e > s AND len(said) > 0 GROUP BY ALL
+), ordered AS (
+    SELECT *, lag(speaker) OVER w AS last_speaker, lag(e) OVER w AS last_e, lag(said) OVER w AS last_said, max(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+    FROM once WINDOW w AS (PARTITION BY source_id, take ORDER BY s, id)
+)"""
+P2_PAUSED = _DELIVERED + """, pause AS (
+    SELECT quantile_cont(s - reach, 0.9) AS pause FROM ordered WHERE s > reach
+), numbered AS (
+    SELECT *, sum(CASE WHEN last_speaker IS NULL OR last_speaker <> speaker OR s - last_e > pause THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, take ORDER BY s, id) AS turn FROM ordered, pause
+)
+SELECT source_id, take, min(s) AS start_cs, string_agg(array_to_string(said, ' '), ' ' ORDER BY s, id) AS words FROM numbered GROUP BY source_id, take, turn"""
+P2_ROLLING = _DELIVERED + """, counted AS (
+    SELECT *, list_max(list_filter(range(0, least(len(said), len(last_said)) + 1), lambda k: last_said[len(last_said) - k + 1:] = said[1:k])) AS again FROM ordered
+)
+SELECT source_id, take, CAST(count(last_speaker) AS BIGINT) AS pairs, CAST(count(*) FILTER (again >= 3 AND speaker = last_speaker AND s <= last_e) AS BIGINT) AS rolled FROM counted GROUP BY source_id, take"""
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of each oversized chunk."""
     return split_oversized(table(spark, folder, "chunks"), "text", ["id", "page_start", "start_s"]).withColumnRenamed("id", "chunk_id")
@@ -127,5 +167,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds_of_text(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
-SQL = {"p3_found": P3_FOUND, "p3_pieces": P3_PIECES, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}
+QUERIES = {"p2_found": p2_found, "p2_paused": p2_paused, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
+SQL = {"p2_paused": P2_PAUSED, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_pieces": P3_PIECES, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import periods_and_gaps
 from ..operators.segments import PARTITION, carried, range_sorted, with_carried
 from ..operators.skew import sized_join
 from ..session import cut
@@ -118,7 +119,7 @@ def _repeated(before: list[str], now: list[str]) -> int:
     return k
 
 
-def _merge(pause: int | None, least: int):
+def _merge(pause: float | None, least: int):
     """A scan that joins successive rows of one speaker into pieces of turns."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +167,44 @@ def _batch(pieces: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([dict(p, words=" ".join(p["words"]), trimmed=" ".join(p["trimmed"])) for p in pieces], _PIECE)
 
 
-def speaker_turns(turns: DataFrame, sources: DataFrame, speaker_names: DataFrame, pause_cs: int | None = None, rolling_words: int = 3, rolling_share: float = 0.5) -> DataFrame:
+_KEYS = ["source_id", "take"]
+
+
+def _swept(rows: DataFrame, pause_cs: float | None, rolling_words: int) -> DataFrame:
+    """The pieces of turns of ``rows`` (turn_id, ``_KEYS``, start_cs, end_cs, speaker, words), one row for each, in the order of the sweep."""
+    ordered = range_sorted(rows, _KEYS, ["start_cs", "turn_id"])
+    last = ordered.groupBy(PARTITION, *_KEYS).agg(F.max_by(F.struct("speaker", "words", "end_cs"), F.struct("start_cs", "turn_id")).alias("_l"))
+    seeded = with_carried(ordered, carried(last, _KEYS, {"_last": F.last("_l")}))
+    schema = f"{PARTITION} int, source_id bigint, take int, number bigint, speaker int, turn bigint, start_cs bigint, words string, trimmed string, pairs bigint, rolled bigint"
+    return cut(seeded.mapInArrow(_merge(pause_cs, rolling_words), schema))
+
+
+def rolling_takes(rows: DataFrame, rolling_words: int = 3) -> DataFrame:
+    """How many successive rows of each take there are, and how many of them repeat the end of the row before: ``_KEYS``, pairs, rolled."""
+    return _swept(rows, None, rolling_words).groupBy(*_KEYS).agg(F.sum("pairs").alias("pairs"), F.sum("rolled").alias("rolled"))
+
+
+def merged_turns(rows: DataFrame, pause_cs: float | None = None, rolling_words: int = 3, rolling_share: float = 0.5) -> DataFrame:
+    """The turns of clean rows (turn_id, ``_KEYS``, start_cs, end_cs, speaker, words): ``_KEYS``, start_cs, speaker, words; see ``speaker_turns``."""
+    pieces = _swept(rows, pause_cs, rolling_words)
+    opens = F.when(F.col("turn").isNotNull(), F.col("number"))
+    opened = pieces.groupBy(PARTITION, *_KEYS).agg(F.max_by(F.struct("turn", "start_cs"), opens).alias("_o"))
+    began = with_carried(pieces, carried(opened, _KEYS, {"_began": F.last("_o", ignorenulls=True)}))
+    began = began.withColumns({"start_cs": F.when(F.col("turn").isNull(), F.col("_began.start_cs")).otherwise(F.col("start_cs")), "turn": F.coalesce("turn", "_began.turn")})
+    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(PARTITION, "number", c))), lambda x: x[c]), " ")
+    joined = began.groupBy(*_KEYS, "turn", "start_cs", "speaker").agg(part("words").alias("words"), part("trimmed").alias("trimmed"))
+    shares = pieces.groupBy(*_KEYS).agg((F.sum("rolled") / F.greatest(F.sum("pairs"), F.lit(1))).alias("_share")).where(F.col("_share") >= rolling_share)
+    chosen = sized_join(joined, shares, _KEYS)
+    return chosen.select(*_KEYS, "start_cs", "speaker", F.when(F.col("_share").isNotNull(), F.col("trimmed")).otherwise(F.col("words")).alias("words"))
+
+
+def calibrated_turns(rows: DataFrame, share: float = 0.9) -> DataFrame:
+    """``merged_turns`` split also at pauses longer than ``share`` of all silences between the periods of takes are."""
+    silences = periods_and_gaps(rows, _KEYS, "start_cs", "end_cs")
+    return merged_turns(rows, typical_pause(silences, share))
+
+
+def speaker_turns(turns: DataFrame, sources: DataFrame, speaker_names: DataFrame, pause_cs: float | None = None, rolling_words: int = 3, rolling_share: float = 0.5) -> DataFrame:
     """The clean turns of each take in time order: source_id, take, start_cs, speaker, words.
 
     A row's start is ``start_s`` or else the time in its text; rows with neither are left out, as
@@ -189,24 +227,10 @@ def speaker_turns(turns: DataFrame, sources: DataFrame, speaker_names: DataFrame
     once = rows.groupBy("source_id", "take", "start_cs", "speaker", "words").agg(F.min("turn_id").alias("turn_id"), F.max("end_cs").alias("end_cs"), F.bool_or((F.col("words") != "") & F.col("start_cs").isNotNull()).alias("_spoken"))
     # As an aggregate the test stays above: below it every pattern would be matched once for the test and once more for the row.
     once = once.where("_spoken").drop("_spoken")
-    keys = ["source_id", "take"]
-    ordered = range_sorted(once, keys, ["start_cs", "turn_id"])
-    last = ordered.groupBy(PARTITION, *keys).agg(F.max_by(F.struct("speaker", "words", "end_cs"), F.struct("start_cs", "turn_id")).alias("_l"))
-    seeded = with_carried(ordered, carried(last, keys, {"_last": F.last("_l")}))
-    schema = f"{PARTITION} int, source_id bigint, take int, number bigint, speaker int, turn bigint, start_cs bigint, words string, trimmed string, pairs bigint, rolled bigint"
-    pieces = cut(seeded.mapInArrow(_merge(pause_cs, rolling_words), schema))
-    opens = F.when(F.col("turn").isNotNull(), F.col("number"))
-    opened = pieces.groupBy(PARTITION, *keys).agg(F.max_by(F.struct("turn", "start_cs"), opens).alias("_o"))
-    began = with_carried(pieces, carried(opened, keys, {"_began": F.last("_o", ignorenulls=True)}))
-    began = began.withColumns({"start_cs": F.when(F.col("turn").isNull(), F.col("_began.start_cs")).otherwise(F.col("start_cs")), "turn": F.coalesce("turn", "_began.turn")})
-    part = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(PARTITION, "number", c))), lambda x: x[c]), " ")
-    joined = began.groupBy(*keys, "turn", "start_cs", "speaker").agg(part("words").alias("words"), part("trimmed").alias("trimmed"))
-    shares = pieces.groupBy(*keys).agg((F.sum("rolled") / F.greatest(F.sum("pairs"), F.lit(1))).alias("_share")).where(F.col("_share") >= rolling_share)
-    chosen = sized_join(joined, shares, keys)
-    return chosen.select(*keys, "start_cs", "speaker", F.when(F.col("_share").isNotNull(), F.col("trimmed")).otherwise(F.col("words")).alias("words"))
+    return merged_turns(once, pause_cs, rolling_words, rolling_share)
 
 
 def typical_pause(intervals: DataFrame, share: float = 0.9) -> float | None:
-    """The length of silence that ``share`` of the gaps don't exceed; ``intervals`` as from ``periods_and_gaps`` with start_cs and end_cs."""
+    """The length of silence that ``share`` of the gaps don't exceed, null without gaps; ``intervals`` as from ``periods_and_gaps`` with start_cs and end_cs."""
     gap = intervals.where("kind = 'gap'").select((F.col("end_cs") - F.col("start_cs")).alias("gap"))
-    return gap.agg(F.percentile_approx("gap", share)).first()[0]
+    return gap.agg(F.percentile("gap", F.lit(share))).first()[0]
