@@ -9,7 +9,7 @@ from ..plans.tables import table
 from .answers import defective_answers
 from .leaks import leaked
 from .quality import FEATURES, kinds_of_text, text_statistics
-from .scans import scan_noise
+from .scans import repaired_paragraphs, scan_noise
 from .splitting import split_oversized
 from .tokens import encode_texts
 from .transcripts import calibrated_turns, rolling_takes, speaker_turns
@@ -128,6 +128,11 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return scan_noise(table(spark, folder, "document_results"), table(spark, folder, "document_texts"))
 
 
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The paragraphs of scanned pages, repaired."""
+    return repaired_paragraphs(table(spark, folder, "document_results"), table(spark, folder, "document_texts"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """The token ids of every document."""
     return encode_texts(table(spark, folder, "documents"), "doc_id", "text")
@@ -167,5 +172,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return kinds_of_text(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "common_words")).where("kind <> 'prose'").select("doc_id", "kind")
 
 
-QUERIES = {"p2_found": p2_found, "p2_paused": p2_paused, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
+QUERIES = {"p2_found": p2_found, "p2_paused": p2_paused, "p2_rolling": p2_rolling, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_statistics": p8_statistics}
 SQL = {"p2_paused": P2_PAUSED, "p2_rolling": P2_ROLLING, "p3_found": P3_FOUND, "p3_pieces": P3_PIECES, "p7_found": P7_FOUND, "p7_items": f"SELECT item_id, count(*) AS documents FROM ({P7_FOUND}) GROUP BY item_id"}

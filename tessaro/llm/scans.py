@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.segments import PARTITION, carried, range_sorted, with_carried
 from ..operators.skew import sized_join
@@ -23,8 +24,11 @@ CONFUSIONS = (
 )
 #: Pairs that also make other words of words; they need much better evidence.
 WEAK = {("o", "a"), ("a", "o"), ("l", "i"), ("i", "l"), ("u", "v"), ("v", "u"), ("nn", "m"), ("in", "m"), ("h", "li"), ("li", "h")}
+_CHEAP = {pair: 0.6 if pair in WEAK else 0.3 for pair in CONFUSIONS}
 # Marks that stand for a hyphen at the end of a line.
 HYPHENS = "-‐­¬￾"
+# Ligatures and the letters they stand for.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 _DIGITS = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1", "S": "5", "s": "5", "B": "8", "b": "6"})
 
 _SEPARATOR = re.compile(r"\s*(?:-{2,}\s*page\s*-{2,}|<!--\s*page[ _-]?break\s*-->|\[page[ _-]?break\]|={3,}\s*page\s*={3,})\s*\Z", re.I)
@@ -38,6 +42,10 @@ _CODE = re.compile(r"[A-Z]{2,4}-?[\dOlISB]+(?:-[\dOlISB]+)*(?:-[A-Z]\d)?\Z")
 _NUMERIC = re.compile(r"[€$£]?[\dOlISB]+(?:[.,:/\-][\dOlISB]+)*%?\Z")
 
 
+#: Lines that are paragraphs of their own: headings, rows of tables, items of lists.
+_ALONE = re.compile(r"\s*(?:#|\||[-*+•–]\s|\d{1,3}[.)]\s)")
+
+
 def is_number_line(line: str) -> bool:
     """A line that only gives the page."""
     bare = line.strip()
@@ -49,6 +57,24 @@ def furniture_key(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"\d+", "#", re.sub(r"\s{2,}\W*[\dOlISB]{1,4}\W*\Z|\A\W*[\dOlISB]{1,4}\s{2,}", "", line.strip().lower()))).strip()
 
 
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def _key_of(text: Column) -> Column:
+    """``furniture_key`` of a column."""
+    bare = F.regexp_replace(F.lower(_trimmed(text)), r"(?U)\s{2,}\W*[\dOlISB]{1,4}\W*$|^\W*[\dOlISB]{1,4}\s{2,}", "")
+    return _trimmed(F.regexp_replace(F.regexp_replace(bare, r"(?U)\d+", "#"), r"(?U)\s+", " "))
+
+
+def _could_be_header(text: Column) -> Column:
+    """``could_be_header`` of a column."""
+    bare = _trimmed(text)
+    size = F.char_length(bare)
+    ended = bare.rlike(r"[.!?:;…][\"'”’»)\]]*$") | bare.endswith(",") | bare.rlike("[^\\W\\d_][" + HYPHENS.replace("-", "\\-") + "]$") | bare.rlike(r"(?U)^[#|\-*•>]|^\p{Ll}")
+    return (size > 2) & (size <= 70) & bare.rlike(r"\p{L}") & ~ended
+
+
 def could_be_header(line: str) -> bool:
     bare = line.strip()
     return 2 < len(bare) <= 70 and bare[0] not in "#|-*•>" and not _TERMINAL.search(bare) and not bare.endswith(",") and any(c.isalpha() for c in bare) and not (bare[0].islower() or _BROKEN.search(bare))
@@ -178,9 +204,7 @@ def with_furniture(lines: DataFrame) -> DataFrame:
     if edges of several sources have it, if it is the source's title, if an item of one line is
     labelled so, or if it is much shorter than the lines of its source and yet ends no sentence.
     """
-    key = F.udf(furniture_key, "string", useArrow=True)
-    possible = F.udf(could_be_header, "boolean", useArrow=True)
-    edges = lines.where(F.col("edge") & ~F.col("number") & ~F.col("heading")).where(possible("text")).withColumn("_key", key("text"))
+    edges = lines.where(F.col("edge") & ~F.col("number") & ~F.col("heading") & _could_be_header(F.col("text"))).withColumn("_key", _key_of(F.col("text")))
     edges = cut(edges.select("source_id", "item_no", "line_no", "_key", "label", F.char_length(F.trim("text")).alias("_long")))
     own = edges.groupBy("source_id", "_key").agg(F.count("*").alias("_own"))
     everywhere = own.groupBy("_key").agg(F.count("*").alias("_sources"))
@@ -219,12 +243,21 @@ def number_repair(word: str) -> str | None:
     return None
 
 
-_OUT = pa.schema([("source_id", pa.int64()), ("item_no", pa.int32()), ("line_no", pa.int32()), ("torn", pa.bool_()), ("b_item", pa.int32()), ("b_line", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("words", pa.list_(pa.string()))])
+@F.pandas_udf(T.StringType())
+def _numbers(words: pd.Series) -> pd.Series:
+    return pd.Series([number_repair(w) for w in words], dtype=object)
+
+
+_OUT = pa.schema([("source_id", pa.int64()), ("item_no", pa.int32()), ("line_no", pa.int32()), ("torn", pa.bool_()), ("b_item", pa.int32()), ("b_line", pa.int32()), ("head", pa.string()), ("tail", pa.string()), ("rest", pa.string()), ("cut", pa.int32()), ("p_item", pa.int32()), ("p_line", pa.int32()), (PARTITION, pa.int32()), ("words", pa.list_(pa.string()))])
+_OUT_DDL = f"source_id bigint, item_no int, line_no int, torn boolean, b_item int, b_line int, head string, tail string, rest string, cut int, p_item int, p_line int, {PARTITION} int, words array<string>"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text lines in order: what each continues from the line before, and its words."""
-    last, fresh = None, True
+    """Text lines in order: what each continues from the line before, its words, and where its paragraph begins.
+
+    The beginning is null for lines of a paragraph that began in an earlier partition.
+    """
+    last, fresh, began = None, True, (None, None)
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -233,14 +266,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             line = row["text"].strip()
             before = last if last and last["source_id"] == row["source_id"] else None
             broken = _BROKEN.search(before["text"].strip()) if before and not before["heading"] else None
-            first = re.match(r"[\"'“„«(]*([^\W\d_][^\W_]*(?:[’'-][^\W_]+)*)", line) if broken and not row["heading"] else None
-            made = {"source_id": row["source_id"], "item_no": row["item_no"], "line_no": row["line_no"], "torn": False, "b_item": None, "b_line": None, "head": None, "tail": None}
+            first = re.match(r"[\"'“„«(]*([^\W\d_][^\W_]*(?:[’'-][^\W_]+)*)(\S*)\s*", line) if broken and not row["heading"] else None
+            made = {"source_id": row["source_id"], "item_no": row["item_no"], "line_no": row["line_no"], "torn": False, "b_item": None, "b_line": None, "head": None, "tail": None, "rest": None, "cut": 0, PARTITION: row[PARTITION]}
             if first:
                 start = re.search(r"[^\W\d_](?:[^\W_]|[’'-](?=\w))*\Z", before["text"].strip()[:-1])
-                made |= {"b_item": before["item_no"], "b_line": before["line_no"], "head": start.group() if start else broken[1], "tail": first[1]}
+                made |= {"b_item": before["item_no"], "b_line": before["line_no"], "head": start.group() if start else broken[1], "tail": first[1], "rest": first[2], "cut": first.end()}
             if before and before["page"] != row["page"] and not before["heading"] and not row["heading"] and not line.startswith(("|", "#")) and not before["text"].lstrip().startswith("|"):
                 open_end = not _TERMINAL.search(before["text"])
                 made["torn"] = bool(first) or (open_end and (line[:1].islower() or len(before["text"].strip()) >= 35))
+            flows = before and not (row["heading"] or before["heading"] or _ALONE.match(line) or _ALONE.match(before["text"]))
+            beside = before and before["item_no"] == row["item_no"] and before["line_no"] + 1 == row["line_no"] and before["page"] == row["page"]
+            if not (made["torn"] or first or (flows and beside)):
+                began = row["item_no"], row["line_no"]
+            made |= {"p_item": began[0], "p_line": began[1]}
             words = tokens(line)
             if first and words:
                 words = words[1:]
@@ -254,9 +292,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def edit_cost(read: str, true: str, most: float = 2.0) -> float:
     """Weighted edit distance from what was read to what may have been printed; confusion pairs are cheap."""
-    cheap = {}
-    for a, b in CONFUSIONS:
-        cheap[a, b] = 0.6 if (a, b) in WEAK else 0.3
+    if abs(len(read) - len(true)) > most:
+        return most + 1
     n, m = len(read), len(true)
     best = [[most + 1] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -274,12 +311,17 @@ def edit_cost(read: str, true: str, most: float = 2.0) -> float:
                 best[i][j + 1] = min(best[i][j + 1], here + 1)
             for a in (1, 2):
                 for b in (1, 2):
-                    cost = cheap.get((read[i : i + a], true[j : j + b])) if i + a <= n and j + b <= m else None
+                    cost = _CHEAP.get((read[i : i + a], true[j : j + b])) if i + a <= n and j + b <= m else None
                     if cost is not None:
                         best[i + a][j + b] = min(best[i + a][j + b], here + cost)
     return best[n][m]
 
 
+@F.pandas_udf(T.DoubleType())
+def _costs(read: pd.Series, true: pd.Series) -> pd.Series:
+    return pd.Series([edit_cost(a, b) for a, b in zip(read, true, strict=True)], dtype=float)
+
+
 def deletes(word: str) -> list[str]:
     """A word with up to two of its letters left out, fewer in short words."""
     found = {word}
@@ -334,10 +376,13 @@ def repairs(lexicon: DataFrame, common: int = 5, ratio: float = 10.0) -> DataFra
     # No count is asked for here: what is restored depends on the ratio alone, not on the size of the corpus.
     known = plain.where(~F.col("word").rlike(r"\d")).select(F.col("word").alias("d"), F.col("word").alias("candidate"), F.col("n").alias("m"))
     direct = sized_join(plain.mapInArrow(_replaced, "word string, n bigint, d string"), known, ["d"], "inner").select("d", "word", "n", "candidate", "m")
-    pairs = asked.join(index, "d").select("d", "word", "n", "candidate", "m").unionByName(direct).where((F.col("word") != F.col("candidate")) & (F.col("m") >= F.when(mixed, 1.5).otherwise(ratio) * F.col("n")))
+    # What is left of short words is the same for many of them: such keys are spread over several tasks.
+    short, salts = F.length("d") < 4, 8
+    asked = asked.withColumn("_salt", F.when(short, F.pmod(F.xxhash64("word"), F.lit(salts))).otherwise(0).cast("int"))
+    index = index.withColumn("_salt", F.explode(F.when(short, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    pairs = asked.join(index, ["d", "_salt"]).select("d", "word", "n", "candidate", "m").unionByName(direct).where((F.col("word") != F.col("candidate")) & (F.col("m") >= F.when(mixed, 1.5).otherwise(ratio) * F.col("n")))
     pairs = pairs.select("word", "n", "candidate", "m").distinct()
-    cost = F.udf(edit_cost, "double", useArrow=True)
-    costed = pairs.withColumn("cost", cost("word", "candidate"))
+    costed = pairs.withColumn("cost", _costs("word", "candidate"))
     clear = (F.col("cost") <= 0.3) | ((F.col("cost") <= 0.6) & (F.col("m") >= F.when(mixed, 3.0).otherwise(50.0) * F.col("n")) & (F.length("word") > 3))
     return costed.where(clear).select("word", "candidate", "cost", F.col("m").alias("n"))
 
@@ -357,15 +402,25 @@ def scan_noise(document_results: DataFrame, document_texts: DataFrame) -> DataFr
     word, weighted edit distance with confusion pairs keeps those a scan explains, and the
     frequencies of the pairs of words around it pick the repair.
     """
+    return noise_of(*scanned_lines(document_results, document_texts))
+
+
+def scanned_lines(document_results: DataFrame, document_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines with their furniture, and the text lines as they were read in order."""
     lines = cut(with_furniture(cut(page_lines(document_results, document_texts))))
-    at = ["source_id", "item_no", "line_no"]
-    furniture = lines.where(F.col("number") | F.col("header")).select(*at, F.when(F.col("number"), "page_number").otherwise("header").alias("kind"), F.lit("").alias("repaired"))
-    body = lines.where(~F.col("number") & ~F.col("header")).select(*at, "page", "text", "heading").dropDuplicates(at)
+    body = lines.where(~F.col("number") & ~F.col("header")).select("source_id", "item_no", "line_no", "page", "text", "heading").dropDuplicates(["source_id", "item_no", "line_no"])
     ordered = range_sorted(body, ["source_id"], ["item_no", "line_no"])
     tail = ordered.groupBy(PARTITION, "source_id").agg(F.max_by(F.struct("item_no", "line_no", "page", "text", "heading"), F.struct("item_no", "line_no")).alias("_l"))
     seeded = with_carried(ordered, carried(tail, ["source_id"], {"_last": F.last("_l")}))
-    read = cut(seeded.mapInArrow(_read, "source_id bigint, item_no int, line_no int, torn boolean, b_item int, b_line int, head string, tail string, words array<string>"))
-    joins = read.where("torn").select(*at, F.lit("join").alias("kind"), F.lit("").alias("repaired"))
+    return lines, cut(seeded.mapInArrow(_read, _OUT_DDL))
+
+
+def noise_of(lines: DataFrame, read: DataFrame, whole_words: bool = False) -> DataFrame:
+    """``scan_noise`` of the frames of ``scanned_lines``; with ``whole_words`` also word, as it was read."""
+    at = ["source_id", "item_no", "line_no"]
+    none = F.lit(None).cast("string").alias("word")
+    furniture = lines.where(F.col("number") | F.col("header")).select(*at, F.when(F.col("number"), "page_number").otherwise("header").alias("kind"), F.lit("").alias("repaired"), none)
+    joins = read.where("torn").select(*at, F.lit("join").alias("kind"), F.lit("").alias("repaired"), none)
 
     said = read.select(F.explode("words").alias("word")).where("word <> '\u0002'")
     lexicon = cut(said.groupBy("word").agg(F.count("*").alias("n")))
@@ -378,14 +433,13 @@ def scan_noise(document_results: DataFrame, document_texts: DataFrame) -> DataFr
         broken = sized_join(broken, known, [form])
     best = fixes.groupBy("word").agg(F.min_by("candidate", F.struct("cost", (-F.col("n")).alias("m"))).alias("fixed"))
     broken = broken.withColumn("word", F.when(F.coalesce("_dashed", F.lit(0)) > F.coalesce("_whole", F.lit(0)), F.col("dashed")).otherwise(F.col("whole")))
-    hyphens = sized_join(broken, best, ["word"]).select(*at, F.lit("hyphen").alias("kind"), F.coalesce("fixed", "word").alias("repaired"))
+    hyphens = sized_join(broken, best, ["word"]).select(*at, F.lit("hyphen").alias("kind"), F.coalesce("fixed", "word").alias("repaired"), none)
 
     placed = read.select(*at, "words", F.posexplode("words").alias("i", "word")).where("word <> '\u0002'")
     near = lambda k: F.coalesce(F.get("words", F.col("i") + k), F.lit("\u0003"))
     placed = placed.select(*at, "word", near(-1).alias("before"), near(1).alias("after"))
-    number = F.udf(number_repair, "string", useArrow=True)
-    numbers = placed.where(F.col("word").rlike(r"\d.*[OlISB]|[OlISB].*\d")).withColumn("repaired", number("word")).where("repaired IS NOT NULL").select(*at, F.lit("char").alias("kind"), "repaired")
-    ligatures = placed.where(F.col("word").rlike("[ﬀ-ﬆ]")).select(*at, F.lit("char").alias("kind"), _unligated(F.col("word")).alias("repaired"))
+    numbers = placed.where(F.col("word").rlike(r"\d.*[OlISB]|[OlISB].*\d")).withColumn("repaired", _numbers("word")).where("repaired IS NOT NULL").select(*at, F.lit("char").alias("kind"), "repaired", "word")
+    ligatures = placed.where(F.col("word").rlike("[ﬀ-ﬆ]")).select(*at, F.lit("char").alias("kind"), _unligated(F.col("word")).alias("repaired"), "word")
 
     suspects = sized_join(placed, fixes.groupBy("word").agg(F.collect_list(F.struct("candidate", "cost", "n")).alias("options")), ["word"], "inner")
     suspects = cut(suspects.select(*at, "word", "before", "after", F.inline("options")))
@@ -396,10 +450,56 @@ def scan_noise(document_results: DataFrame, document_texts: DataFrame) -> DataFr
     context = F.log1p(F.coalesce("_before", F.lit(0))) + F.log1p(F.coalesce("_after", F.lit(0)))
     score = context + 0.3 * F.log("n") - 6 * F.col("cost")
     chosen = suspects.groupBy(*at, "word", "before", "after").agg(F.max_by("candidate", F.struct(score, "candidate")).alias("repaired"))
-    chars = chosen.select(*at, F.lit("char").alias("kind"), "repaired")
+    chars = chosen.select(*at, F.lit("char").alias("kind"), "repaired", "word")
     every = furniture.unionByName(joins).unionByName(hyphens).unionByName(chars).unionByName(numbers).unionByName(ligatures)
-    return every.distinct()
+    return (every if whole_words else every.drop("word")).distinct()
+
+
+_LINE_TEXT = "source_id bigint, item_no int, line_no int, p_item int, p_line int, text string"
+
+
+def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each line without what belongs to the line before, its words put right and its broken last word whole."""
+    for batch in batches:
+        texts = []
+        for row in batch.select(["text", "cut", "fixes", "whole", "rest"]).to_pylist():
+            line = row["text"].strip()[row["cut"] :]
+            if row["whole"] is not None:
+                line = re.sub(r"[^\W\d_](?:[^\W_]|[’'-](?=\w))*[" + re.escape(HYPHENS) + r"]\Z", "", line) + row["whole"] + (row["rest"] or "")
+            for fix in row["fixes"] or ():
+                line = re.sub(rf"(?<!\w){re.escape(fix['word'])}(?!\w)", lambda _, to=fix["repaired"]: to, line)
+            texts.append(line.strip())
+        named = ["source_id", "item_no", "line_no", "p_item", "p_line"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in named), pa.array(texts, pa.string())], [*named, "text"])
+
+
+def repaired_paragraphs(document_results: DataFrame, document_texts: DataFrame) -> DataFrame:
+    """The text of scanned pages as it was written: source_id, item_no, paragraph_no (from 1 within its item), text.
+
+    Headers and page numbers are left out, broken words are made whole, misread words put right,
+    and lines flow into paragraphs, also over the end of a page or an item. A blank line, a
+    heading, a row of a table and an item of a list end a paragraph. A paragraph stands under the
+    item in which it begins. Rows as in ``scan_noise``; blank texts give no paragraph.
+    """
+    lines, read = scanned_lines(document_results, document_texts)
+    noise = cut(noise_of(lines, read, True))
+    at = ["source_id", "item_no", "line_no"]
+    fixes = noise.where("kind = 'char' AND word IS NOT NULL").groupBy(*at).agg(F.array_sort(F.collect_set(F.struct("word", "repaired"))).alias("fixes"))
+    broken = read.where("head IS NOT NULL").select("source_id", F.col("b_item").alias("item_no"), F.col("b_line").alias("line_no"), "rest").dropDuplicates(at)
+    wholes = noise.where("kind = 'hyphen'").groupBy(*at).agg(F.max("repaired").alias("whole")).join(broken, at)
+    opened = read.where("p_line IS NOT NULL").groupBy(PARTITION, "source_id").agg(F.max(F.struct("p_item", "p_line")).alias("_o"))
+    placed = with_carried(read.select(*at, "cut", "p_item", "p_line", PARTITION), carried(opened, ["source_id"], {"_began": F.last("_o", ignorenulls=True)}))
+    placed = placed.select(*at, "cut", F.coalesce("p_item", "_began.p_item").alias("p_item"), F.coalesce("p_line", "_began.p_line").alias("p_line"))
+    texts = lines.where(~F.col("number") & ~F.col("header")).select(*at, "text").dropDuplicates(at)
+    full = sized_join(sized_join(placed.join(texts, at), fixes, at), wholes, at)
+    flowing = full.select(*at, "cut", "p_item", "p_line", "text", "fixes", "whole", "rest").mapInArrow(_rewritten, _LINE_TEXT).where("text <> ''")
+    parts = flowing.groupBy("source_id", "p_item", "p_line").agg(F.array_join(F.array_sort(F.collect_list(F.struct("item_no", "line_no", "text")))["text"], " ").alias("text"))
+    # The paragraphs of one item: no more than one text holds.
+    number = F.row_number().over(Window.partitionBy("source_id", "p_item").orderBy("p_line"))
+    return parts.select("source_id", F.col("p_item").alias("item_no"), number.alias("paragraph_no"), "text")
 
 
 def _unligated(word: Column) -> Column:
-    return F.udf(lambda w: unicodedata.normalize("NFKC", w), "string", useArrow=True)(word)
+    for mark, letters in LIGATURES:
+        word = F.replace(word, F.lit(mark), F.lit(letters))
+    return word

@@ -1,6 +1,6 @@
 import pytest
 
-from tessaro.llm.scans import _LINE_DDL, document_lines, edit_cost, is_number_line, number_repair, repairs, scan_noise, with_furniture
+from tessaro.llm.scans import _LINE_DDL, document_lines, edit_cost, is_number_line, number_repair, repaired_paragraphs, repairs, scan_noise, with_furniture
 
 
 def test_lines():
@@ -65,3 +65,27 @@ def test_short_words_meet(spark):
     rows = spark.createDataFrame(true + [(w, 1) for w in read], "word string, n long")
     found = {(r["word"], r["candidate"]) for r in repairs(rows).collect()}
     assert set(read.items()) <= found
+
+
+def test_paragraphs(spark):
+    torn = "Notes of the year\n\nThe carrier came before noon and left the\nboxes at the sbort gate. No one could car-\n\n- 1 -\n\fNotes of the year\n\n“rier”, or not: it was 2O31 that counted here.\nThe ﬁrst end came.\n\nA new one, at\nlast.\n# Head\n- one\n- two\n\n- 2 -"
+    items = [(7, 1, "", "text", 1, "The carrier left the boxes because the\ngate was closed and nobody had asked the", ""), (7, 2, "", None, 1, "- 4 -", ""), (7, 4, "", "text", 2, "others about it.", ""), (7, 5, "", "text", 2, "Once more.", ""), (8, 1, "", None, None, None, "")]
+    whole, rest = documents(spark, [(1, 2, torn, "x"), (2, 1, "The short way was short. " * 12, "x"), (3, None, None, "x"), (4, 0, " \n", "x")], items)
+    rows = {(r["source_id"], r["item_no"], r["paragraph_no"]): r["text"] for r in repaired_paragraphs(whole, rest).collect()}
+    assert rows == {
+        (1, 0, 1): "The carrier came before noon and left the boxes at the short gate. No one could carrier”, or not: it was 2031 that counted here. The first end came.",
+        (1, 0, 2): "A new one, at last.", (1, 0, 3): "# Head", (1, 0, 4): "- one", (1, 0, 5): "- two",
+        (2, 0, 1): ("The short way was short. " * 12).strip(),
+        (7, 1, 1): "The carrier left the boxes because the gate was closed and nobody had asked the others about it.", (7, 5, 1): "Once more.",
+    }
+    assert repaired_paragraphs(whole.limit(0), rest.limit(0)).count() == 0
+
+
+def test_keys_of_columns_agree_with_those_of_lines(spark):
+    from pyspark.sql import functions as F
+
+    from tessaro.llm.scans import _could_be_header, _key_of, could_be_header, furniture_key
+
+    lines = ["Notes of 2031", "  12   The Year  ", "The Year   - 7 -", "ends.", "lower case", "# head", "Ä broken-", "x", "Title – 4", "1O  Harbour", "Über  alles", "a" * 80, "Says:", "O2 Sensors\u00a0 9", "5", "Straße 7,"]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select("t", _key_of(F.col("t")), _could_be_header(F.col("t"))).collect()
+    assert [(r[1], r[2]) for r in rows] == [(furniture_key(r[0]), could_be_header(r[0])) for r in rows]
