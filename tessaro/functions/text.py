@@ -47,8 +47,8 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda x: (F.char_length(x) >= 3) & x.rlike("[0-9]") & x.rlike(r"[\p{L}_./-]")))
 
 
-def citations(text: Column) -> Column:
-    """The source numbers that an answer cites: ``[2]``, ``[1, 3]``, ``[2-4]``, in order, once each."""
+def citations(text: Column, sources: Column | None = None) -> Column:
+    """The source numbers that an answer cites: ``[2]``, ``[1, 3]``, ``[2-4]``, in order, once each; with ``sources`` only those up to that number."""
     marks = F.regexp_extract_all(text, _lit(r"\[([0-9]+(?:\s*[,/–-]\s*[0-9]+)*)\]"), F.lit(1))
 
     def numbers(mark: Column) -> Column:
@@ -56,7 +56,8 @@ def citations(text: Column) -> Column:
         ends = F.transform(parts, lambda p: F.struct(p[0].cast("int").alias("a"), F.element_at(p, -1).cast("int").alias("b")))
         return F.flatten(F.transform(F.filter(ends, lambda e: e["a"] <= e["b"]), lambda e: F.sequence(e["a"], e["b"])))
 
-    return F.array_distinct(F.flatten(F.transform(marks, numbers)))
+    found = F.array_distinct(F.flatten(F.transform(marks, numbers)))
+    return found if sources is None else F.filter(found, lambda n: n.between(1, sources))
 
 
 def declines(text: Column) -> Column:
@@ -68,15 +69,26 @@ def token_count(text: Column) -> Column:
     return (F.floor(F.char_length(text) / 3.0) + 1).cast("long")
 
 
+# The suffixes that a light stem goes without, in this order, and the final letters that stay double.
+SUFFIXES = ("ments", "ment", "ings", "ing", "ed", "es", "s")
+STAYS_DOUBLE = "aeiouls"
+
+
 def stem(word: Column) -> Column:
-    """A light stem: one suffix off if three letters stay, a final e off, a double consonant halved."""
-    cut = F.coalesce(
-        *(F.when(word.endswith(s) & (F.char_length(word) >= len(s) + 3), F.lit(len(s))) for s in ("ments", "ment", "ings", "ing", "ed", "es", "s")),
-        F.lit(0),
-    )
-    short = F.substring(word, F.lit(1), F.char_length(word) - cut)
-    short = F.when(F.char_length(short) > 3, F.regexp_replace(short, "e$", "")).otherwise(short)
-    return F.regexp_replace(short, r"([bdfglmnprt])\1$", "$1")
+    """A light stem: the first suffix off after which three letters stay, then a final e off and a double letter halved where more than three are left."""
+    whole = word
+    for suffix in reversed(SUFFIXES):
+        fits = word.endswith(suffix) & (F.char_length(word) >= len(suffix) + 3)
+        whole = F.when(fits, F.substring(word, F.lit(1), F.char_length(word) - len(suffix))).otherwise(whole)
+    bare = F.when(F.char_length(whole) > 3, F.regexp_replace(whole, "e$", "")).otherwise(whole)
+    return F.when(F.char_length(bare) > 3, F.regexp_replace(bare, rf"([^{STAYS_DOUBLE}])\1$", "$1")).otherwise(bare)
+
+
+def stem_sql(word: str) -> str:
+    """``stem`` in SQL."""
+    cut = f"CASE {' '.join(f"WHEN ends_with({word}, '{x}') AND length({word}) >= {len(x) + 3} THEN left({word}, -{len(x)})" for x in SUFFIXES)} ELSE {word} END"
+    bare = f"(CASE WHEN length({cut}) > 3 AND ends_with({cut}, 'e') THEN left({cut}, -1) ELSE {cut} END)"
+    return f"CASE WHEN length({bare}) > 3 AND right({bare}, 1) = substr({bare}, -2, 1) AND NOT contains('{STAYS_DOUBLE}', right({bare}, 1)) THEN left({bare}, -1) ELSE {bare} END"
 
 
 def iso_dates(text: Column) -> Column:

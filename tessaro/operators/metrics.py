@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,23 @@ def word_errors(reference: Column, hypothesis: Column) -> Column:
     return F.element_at(F.aggregate(reference, start, step), -1)
 
 
+def at_place(chunk: Column, ref: Column) -> Column:
+    """Whether a chunk of the same source covers a reference: its page, else its stretch of time (ends count), else the whole source.
+
+    Both are structs with page_start, page_end, start_s and end_s. A chunk without the kind of
+    place that the reference names doesn't cover it.
+    """
+    last = F.when(F.coalesce(chunk["page_end"], F.lit(0)) == 0, chunk["page_start"]).otherwise(chunk["page_end"])
+    paged = (chunk["page_start"] <= ref["page_start"]) & (ref["page_start"] <= last)
+    timed = (chunk["start_s"] <= F.coalesce(ref["end_s"], ref["start_s"])) & (ref["start_s"] <= F.coalesce(chunk["end_s"], chunk["start_s"]))
+    return F.coalesce(F.when(ref["page_start"].isNotNull(), paged).when(ref["start_s"].isNotNull(), timed).otherwise(True), F.lit(False))
+
+
+def value_matches(expected: Column, got: Column, form: Callable[[Column], Column]) -> Column:
+    """Equal in the given form; what is expected to be missing must be null or blank."""
+    return F.when(expected.isNull(), got.isNull() | (F.trim(got) == "")).otherwise(F.coalesce(form(expected) == form(got), F.lit(False)))
+
+
 def compare_runs(before: DataFrame, after: DataFrame, metric: str, value: str, margin: float = 0.02) -> DataFrame:
     """Every metric of either run with its change; a regression is a loss of ``margin`` or more."""
     joined = before.select(metric, F.col(value).alias("before")).join(after.select(metric, F.col(value).alias("after")), metric, "full")

@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 
 def packed(pieces: Column, limit: int, separator: str = " ") -> Column:
-    """Pieces joined by ``separator`` for as long as the part stays within ``limit`` characters; a longer piece is a part of its own."""
-    empty = F.array().cast("array<string>")
+    """Pieces joined by ``separator`` for as long as the part stays within ``limit`` characters; a longer piece is a part of its own.
 
-    def add(parts: Column, piece: Column) -> Column:
-        last = F.element_at(parts, -1)
-        fits = (F.size(parts) > 0) & (F.char_length(F.when(F.size(parts) > 0, last)) + len(separator) + F.char_length(piece) <= limit)
-        longer = F.concat(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.concat(F.when(F.size(parts) > 0, last), F.lit(separator), piece)))
-        return F.when(fits, longer).otherwise(F.concat(parts, F.array(piece)))
+    The part that is being filled is kept beside the finished ones, so that these are copied once
+    for each part and not for each piece.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
 
-    return F.aggregate(pieces, empty, add)
+    def add(state: Column, piece: Column) -> Column:
+        fits = F.char_length(state["open"]) + len(separator) + F.char_length(piece) <= limit
+        joined = F.when(state["open"].isNull(), piece).when(fits, F.concat(state["open"], F.lit(separator), piece)).otherwise(piece)
+        done = F.when(state["open"].isNull() | fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"])))
+        return F.struct(done.alias("done"), joined.alias("open"))
+
+    return F.aggregate(pieces, start, add, lambda s: F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
 
 
 def fitting(costs: Column, budget: int) -> Column:

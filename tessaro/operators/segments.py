@@ -51,3 +51,35 @@ def with_carried(df: DataFrame, inherited: DataFrame) -> DataFrame:
     partition) and keeps the order of ``df``.
     """
     return df.join(F.broadcast(inherited), PARTITION, "left")
+
+
+def _with_earlier(rows: DataFrame, parts: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``rows`` with aggregates over the earlier partitions of their group; ``parts`` has one row for each group and partition.
+
+    A group goes on into a partition only as its first one, so at most one row for each partition is broadcast.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, -1)
+    inherited = parts.select(F.col(PARTITION).alias("_p"), *(F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)), *(c.over(earlier).alias(name) for name, c in values.items()))
+    inherited = inherited.where(reduce(lambda a, b: a | b, (F.col(name).isNotNull() for name in values)))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(keys)), F.col(PARTITION) == F.col("_p"))
+    return rows.join(F.broadcast(inherited), same, "left").drop("_p", *(f"_c{i}" for i in range(len(keys))))
+
+
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``df`` with ``_previous``, a struct of ``values`` of the row before in its group (null for the first), for groups of any size.
+
+    ``order`` must tell the rows of a group apart. Null keys form groups of their own.
+    """
+    rows = range_sorted(df, keys, order)
+    last = rows.groupBy(PARTITION, *keys).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_l"))
+    before = F.lag(F.struct(*values)).over(Window.partitionBy(PARTITION, *keys).orderBy(*order))
+    return _with_earlier(rows, last, keys, {"_carry": F.last("_l")}).withColumn("_previous", F.coalesce(before, "_carry")).drop("_carry", PARTITION)
+
+
+def with_running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with the sum of each of ``values`` over its group up to and with each row, for groups of any size; ``order`` as above."""
+    rows = range_sorted(df.withColumns(values), keys, order)
+    within = Window.partitionBy(PARTITION, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(PARTITION, *keys).agg(*(F.sum(name).alias(name) for name in values))
+    seeded = _with_earlier(rows, parts, keys, {f"_before_{name}": F.sum(name) for name in values})
+    return seeded.withColumns({name: F.sum(name).over(within) + F.coalesce(f"_before_{name}", F.lit(0)) for name in values}).drop(*(f"_before_{name}" for name in values), PARTITION)

@@ -37,8 +37,8 @@ def cited_amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 def stemmed_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """Words of the questions by their stem."""
-    words = F.explode(F.regexp_extract_all(F.lower("question"), F.lit(r"\b([a-z]{4,})\b"), F.lit(1))).alias("word")
-    rows = table(spark, folder, "qa_turns").select(words)
+    words = F.explode(F.regexp_extract_all(F.lower("question"), F.lit(r"(\p{L}{4,})"), F.lit(1))).alias("word")
+    rows = table(spark, folder, "qa_turns").select(words).where(F.col("word").rlike("^[a-z]+$"))
     return rows.groupBy(X.stem(F.col("word")).alias("stem")).agg(F.count("*").alias("words"), F.count_distinct("word").alias("forms"))
 
 
@@ -83,6 +83,11 @@ QUERIES = {
     "stemmed_vocabulary": stemmed_vocabulary, "page_loops": page_loops, "sparse_documents": sparse_documents, "table_rows": table_rows, "criterion_ids": criterion_ids, "keyword_overlap": keyword_overlap,
 }
 SQL = {
+    "stemmed_vocabulary": f"""
+WITH w AS (
+    SELECT unnest(regexp_extract_all(lower(question), '\\p{{L}}{{4,}}')) AS word FROM qa_turns
+)
+SELECT {X.stem_sql("word")} AS stem, count(*) AS words, count(DISTINCT word) AS forms FROM w WHERE regexp_matches(word, '^[a-z]+$') GROUP BY 1""",
     "answer_citations": r"""
 WITH marks AS (
     SELECT id, regexp_extract_all(answer, '\[([0-9]+(?:\s*[,/–-]\s*[0-9]+)*)\]', 1) AS m FROM qa_turns WHERE answer IS NOT NULL

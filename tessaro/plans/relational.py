@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import ranked
+from ..operators.segments import with_previous
 from .tables import table
 
 
-
 def _revenue():
     return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
@@ -57,8 +57,9 @@ def order_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Days since a customer's previous order."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, folder, "orders").select("o_orderkey", F.datediff("o_orderdate", F.lag("o_orderdate").over(w)).alias("days"))
+    orders = table(spark, folder, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    seen = with_previous(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderdate"])
+    return seen.select("o_orderkey", F.datediff("o_orderdate", F.col("_previous.o_orderdate")).alias("days"))
 
 
 def part_price_bands(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import periods_and_gaps
 from ..operators.search import ranked
-from ..operators.sequence import asof_match, first_appearance_rank, overlap_pairs, sliding_windows
+from ..operators.sequence import asof_match, covering, first_appearance_rank, overlap_counts, sliding_windows
 from .tables import table
 
 PAD = 30
 
 
-def _timed(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+def _timed(spark: SparkSession, folder: str, name: str, key: str, *more: str) -> DataFrame:
     sides = [F.round(F.col(f"{side}_s") * 100).cast("long").alias(f"{side}_cs") for side in ("start", "end")]
-    return table(spark, folder, name).select(key, "source_id", "take", *sides)
+    return table(spark, folder, name).select(key, "source_id", "take", *more, *sides)
 
 
 def speech_islands(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +32,8 @@ def span_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def range_join_counts(spark: SparkSession, folder: str) -> DataFrame:
     """How many turns each span overlaps."""
-    pairs = overlap_pairs(_timed(spark, folder, "spans", "span_id"), _timed(spark, folder, "turns", "turn_id"), ["source_id", "take"], "span_id", "turn_id", "start_cs", "end_cs", 2000)
-    return pairs.groupBy("span_id").agg(F.count("*").alias("turns"))
+    found = overlap_counts(_timed(spark, folder, "spans", "span_id"), _timed(spark, folder, "turns", "turn_id"), ["source_id", "take"], "span_id", "start_cs", "end_cs")
+    return found.withColumnRenamed("n", "turns")
 
 
 def asof_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,21 +45,20 @@ def point_in_interval(spark: SparkSession, folder: str) -> DataFrame:
     """The midpoint of each turn within the spans padded by 0.3 s: the span if there is exactly one."""
     turns = _timed(spark, folder, "turns", "turn_id").where("end_cs > start_cs")
     middle = F.floor((F.col("start_cs") + F.col("end_cs")) / 2).cast("long")
-    points = turns.select("turn_id", "source_id", "take", middle.alias("start_cs"), (middle + 1).alias("end_cs"))
+    points = turns.select("turn_id", "source_id", "take", middle.alias("at_cs"))
     spans = _timed(spark, folder, "spans", "span_id").where("end_cs > start_cs").select("span_id", "source_id", "take", (F.col("start_cs") - PAD).alias("start_cs"), (F.col("end_cs") + PAD).alias("end_cs"))
-    pairs = overlap_pairs(points, spans, ["source_id", "take"], "turn_id", "span_id", "start_cs", "end_cs", 2000)
-    return pairs.groupBy("turn_id").agg(F.when(F.count("*") == 1, F.min("span_id")).alias("span_id"))
+    return covering(points, spans, ["source_id", "take"], "turn_id", "at_cs", "span_id", "start_cs", "end_cs").drop("n")
 
 
 def speaker_label_ranks(spark: SparkSession, folder: str) -> DataFrame:
     """Speaker labels of each take numbered by first appearance."""
-    turns = _timed(spark, folder, "turns", "turn_id").join(table(spark, folder, "turns").select("turn_id", "speaker"), "turn_id").where("start_cs IS NOT NULL")
+    turns = _timed(spark, folder, "turns", "turn_id", "speaker").where("start_cs IS NOT NULL")
     return first_appearance_rank(turns, ["source_id", "take"], "speaker", ["start_cs", "turn_id"])
 
 
 def speaker_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Talk time and turns of each label of a source."""
-    turns = _timed(spark, folder, "turns", "turn_id").where("end_cs > start_cs").join(table(spark, folder, "turns").select("turn_id", "speaker"), "turn_id")
+    turns = _timed(spark, folder, "turns", "turn_id", "speaker").where("end_cs > start_cs")
     return turns.groupBy("source_id", "speaker").agg(F.sum(F.col("end_cs") - F.col("start_cs")).alias("talk_cs"), F.count("*").alias("turns"))
 
 
