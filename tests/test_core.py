@@ -104,7 +104,7 @@ def test_search_and_fusion(spark):
     terms = lambda c: X.search_terms(F.lower(F.col(c)))
     found = bm25(docs, "id", terms("text"), asked, "q", terms("question"))
     assert [(r["q"], r["id"], r["rank"]) for r in found.orderBy("q", "rank").collect()] == [(10, 1, 1), (10, 2, 2)]
-    ids = identifier_hits(docs, "id", X.identifiers(F.col("text")), asked, "q", X.identifiers(F.col("question")))
+    ids = identifier_hits(docs, "id", F.col("text"), asked, "q", X.identifiers(F.col("question")))
     assert [(r["q"], r["id"]) for r in ids.collect()] == [(10, 1)]
     assert [r["id"] for r in fuse([found, ids], "q", "id").orderBy("rank").collect()] == [1, 2]
 
