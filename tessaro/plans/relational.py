@@ -38,7 +38,8 @@ def top_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def customers_without_orders(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order, by segment."""
+    orders = table(spark, folder, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, folder, "customer").join(orders, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 
@@ -81,7 +82,7 @@ FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey
     "top_customers": """
 WITH t AS (SELECT o_custkey AS c_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey)
 SELECT c_custkey, c_mktsegment, total, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, c_custkey) AS INT) AS rank FROM customer JOIN t USING (c_custkey) QUALIFY rank <= 3""",
-    "customers_without_orders": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_mktsegment",
+    "customers_without_orders": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY c_mktsegment",
     "shared_nations": """
 SELECT nation, 'both' AS side FROM (SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier)
 UNION ALL SELECT nation, 'one' FROM (SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier)
