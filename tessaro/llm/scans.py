@@ -38,6 +38,7 @@ _PAGE = re.compile(r"[\s\-–—\[\]()|·*]*(?i:page|seite|página|pagina|pág\.
 _TERMINAL = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*\Z")
 _BROKEN = re.compile(r"([^\W\d_][^\W_]*)[" + re.escape(HYPHENS) + r"]\s*\Z")
 _EDGES = "\"'“”„«»‘’()[]{}<>*_#|.,:;!?…—–¿¡"
+_CLOSERS = "\"'”’»)]"
 _CODE = re.compile(r"[A-Z]{2,4}-?[\dOlISB]+(?:-[\dOlISB]+)*(?:-[A-Z]\d)?\Z")
 _NUMERIC = re.compile(r"[€$£]?[\dOlISB]+(?:[.,:/\-][\dOlISB]+)*%?\Z")
 
@@ -216,7 +217,7 @@ def with_furniture(lines: DataFrame) -> DataFrame:
     titled = F.levenshtein(F.regexp_replace(F.lower(F.trim(F.regexp_replace("_title", "^#+", ""))), r"\d+", "#"), F.col("_key")) <= F.length("_key") / 8
     running = near | (F.col("_sources") > 2) | titled | F.col("label").isin("page_header", "page_footer") | F.col("_key").rlike(r" [|–] ") | (F.col("_long") <= 0.6 * F.col("_width"))
     headers = counted.where(running).select("source_id", "item_no", "line_no", F.lit(True).alias("header"))
-    return lines.join(headers, ["source_id", "item_no", "line_no"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
+    return sized_join(lines, headers.distinct(), ["source_id", "item_no", "line_no"]).withColumn("header", F.coalesce("header", F.lit(False)))
 
 
 def tokens(line: str) -> list[str]:
@@ -226,7 +227,7 @@ def tokens(line: str) -> list[str]:
         word = raw.strip(_EDGES)
         if word:
             out.append(word)
-        if re.search(r"[.!?:][\"'”’»)\]]*\Z", raw) or not word:
+        if not word or raw.rstrip(_CLOSERS).endswith((".", "!", "?", ":")):
             out.append("\u0002")
     return out
 
@@ -407,7 +408,7 @@ def scan_noise(document_results: DataFrame, document_texts: DataFrame) -> DataFr
 
 def scanned_lines(document_results: DataFrame, document_texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All lines with their furniture, and the text lines as they were read in order."""
-    lines = cut(with_furniture(cut(page_lines(document_results, document_texts))))
+    lines = with_furniture(cut(page_lines(document_results, document_texts)))
     body = lines.where(~F.col("number") & ~F.col("header")).select("source_id", "item_no", "line_no", "page", "text", "heading").dropDuplicates(["source_id", "item_no", "line_no"])
     ordered = range_sorted(body, ["source_id"], ["item_no", "line_no"])
     tail = ordered.groupBy(PARTITION, "source_id").agg(F.max_by(F.struct("item_no", "line_no", "page", "text", "heading"), F.struct("item_no", "line_no")).alias("_l"))
