@@ -30,6 +30,8 @@ _FIELD = re.compile(r"\s*[^\W\d_][\w .\-/()]{0,30}?\s?[:=]\s+(\S.*)")
 _RULE = re.compile(r"\s*[-+|=:_\s─━│┼╪]{3,}\Z")
 _TAG = re.compile(r"</?(?:table|thead|tbody|tr|td|th)\b", re.I)
 _UNREADABLE = re.compile(r"[ÃÂ�\x00-\x08\x0e-\x1f\x7f-\x9f-]|(?<=[^\W\d_])[€¢£¥¤]|[¢€¥¤](?=[^\W\d_])")
+#: The characters that ``_UNREADABLE`` needs; a text without them is spared the search.
+_SUSPECT = frozenset("ÃÂ�€¢£¥¤" + "".join(map(chr, [*range(9), *range(0x0E, 0x20), *range(0x7F, 0xA0), *range(0xE000, 0xF900)])))
 _HARSH = re.compile(r"[bcdfghjklmnpqrstvwxz]{5,}", re.I)
 _MIXED = re.compile(r"[a-z][A-Z]|[A-Za-z]\d[A-Za-z]|\d[a-z]")
 
@@ -106,8 +108,8 @@ def statistics(text: str, common: dict[str, set[str]], everywhere: set[str] | No
     return [
         len(text), n_words, len(lines), sum(len(x) * m for x, m in words.items()) / w, sum(m for c, m in characters.items() if not c.isalnum() and not c.isspace()) / n, sum(ended) / k,
         max([sum(m for x, m in said.items() if x in own) / w for own in common.values()], default=0.0), sum(m for c, m in characters.items() if c.isdigit()) / n,
-        len(_UNREADABLE.findall(text)) / n, sum(m for x, m in tokens.items() if len(x) == 1) / n_tokens,
-        sum(m for x, m in words.items() if _HARSH.search(x)) / w, sum(m for x, m in tokens.items() if len(x) > 12 and _MIXED.search(x)) / n_tokens, max(words.values(), default=0) / w, len(words) / w,
+        (0 if _SUSPECT.isdisjoint(characters) else len(_UNREADABLE.findall(text))) / n, sum(m for x, m in tokens.items() if len(x) == 1) / n_tokens,
+        sum(m for x, m in words.items() if len(x) > 4 and _HARSH.search(x)) / w, sum(m for x, m in tokens.items() if len(x) > 12 and _MIXED.search(x)) / n_tokens, max(words.values(), default=0) / w, len(words) / w,
         top_sentence, n_words / max(1, len(_SENTENCE.findall(text))), sum(map(len, lines)) / k, sum(marked) / k, sum(field) / k, bare / k, (sum(marked) + sum(field) + bare) / k, sum(table) / k,
         sum(not c.isalpha() for c in firsts) / k, sum(not e and x.count(" ") < 9 for x, e in zip(lines, ended, strict=True)) / k,
     ]
