@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 FAST = (
     "p1_found", "search_text", "query_terms", "bm25_topk", "hybrid_search", "vector_topk", "range_join_counts", "asof_spans", "answer_history", "library_listing", "chunk_citations",
-    "retrieval_metrics", "decline_agreement", "answer_citations", "cited_amounts", "sentence_chunks", "prompt_packing", "shared_nations",
+    "retrieval_metrics", "decline_agreement", "answer_citations", "cited_amounts", "sentence_chunks", "prompt_packing", "shared_nations", "point_in_interval", "order_intervals", "heading_chunks", "table_chunks", "chunk_parts", "canonical_answers",
+    "fact_coverage", "place_metrics", "keyword_coverage", "stem_forms", "identifier_topk", "pause_chunks", "corrupted_numbers", "metric_changes",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables aren't there")
 
