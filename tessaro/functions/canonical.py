@@ -61,6 +61,33 @@ def contains_words(haystack: Column, needle: Column) -> Column:
     return F.coalesce((needle != "") & F.contains(haystack, needle) & F.regexp_like(haystack, pattern), F.lit(False))
 
 
+def iso_date(text: Column) -> Column:
+    """A written date as an ISO date, or null: year first, day and month where only one order is possible, or with an English month name.
+
+    ``14/09/2026`` and ``09/14/2026`` are told by the number above 12; ``03/04/2026`` may be two days and is none.
+    """
+    t = F.lower(F.trim(text))
+    numeric = r"^(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})$"
+    a, b, c = (F.regexp_extract(t, numeric, i) for i in (1, 2, 3))
+    one, two = a.try_cast("int"), b.try_cast("int")
+    named, spelt = rf"^(\d{{1,2}})[\s-]+({_MONTH})\.?[\s-]+(\d{{4}})$", rf"^({_MONTH})\.?\s+(\d{{1,2}}),?\s+(\d{{4}})$"
+    first = F.greatest(F.regexp_extract(t, named, 1), F.regexp_extract(t, spelt, 2))
+    name = F.greatest(F.regexp_extract(t, named, 2), F.regexp_extract(t, spelt, 1))
+    month = F.coalesce(*(F.when(name.isin(*names), F.lit(number)) for number, names in enumerate(MONTHS, 1)))
+    year = F.greatest(F.regexp_extract(t, named, 3), F.regexp_extract(t, spelt, 3))
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        return F.date_format(F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
+
+    ends = (F.length(c) == 4) & (F.length(a) <= 2)
+    return (
+        F.when(F.length(a) == 4, day(a, b, c))
+        .when(ends & (one > 12) & (two <= 12), day(c, b, a))
+        .when(ends & (one <= 12) & ((two > 12) | (one == two)), day(c, a, b))
+        .when(month.isNotNull(), day(year, month, first))
+    )
+
+
 def canonical_sql(text: str) -> str:
     """The same as ``canonical`` in SQL without look-around: what must stay is put out of the way, each step twice as matches overlap."""
 

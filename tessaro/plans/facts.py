@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.canonical import canonical, canonical_sql, contains_words
+from ..functions.canonical import MONTHS, canonical, canonical_sql, contains_words, iso_date
 from ..operators import metrics as M
 from ..operators.grids import cell_f1
 from ..operators.segments import with_previous
@@ -91,6 +91,36 @@ def stem_forms(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(words).distinct().where(F.col("word").rlike("^[a-z]+$")).select("word", X.stem(F.col("word")).alias("stem"))
 
 
+def written_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """The dates with a month name, or year first, in documents, and the days they mean."""
+    found = F.regexp_extract_all("text", F.lit(_DATE), F.lit(1))
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(found)).alias("written"))
+    return rows.select("doc_id", "written", iso_date(F.col("written")).alias("iso"))
+
+
+def _action_items(rows: DataFrame, name: str) -> DataFrame:
+    """How often each source holds each item: who does it and the stems of what is done."""
+    item = F.explode(F.regexp_extract_all("text", F.lit(r"Action: +([^.!?\n]+)"), F.lit(1))).alias("item")
+    words = F.filter(F.regexp_extract_all(F.lower("item"), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: (F.char_length(w) > 2) & ~w.isin(STOP_KEYWORDS))
+    stems = F.array_join(F.array_sort(F.array_distinct(F.transform(F.slice(words, 2, 1000), X.stem))), " ")
+    keyed = rows.select("source_id", item).select("source_id", F.coalesce(F.get(words, F.lit(0)), F.lit("")).alias("owner"), stems.alias("task"))
+    return keyed.groupBy("source_id", "owner", "task").agg(F.count("*").alias(name))
+
+
+def action_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The action items said in each recording against those in its chunks: each said one takes one in the chunks with the same owner and task, as long as there are any.
+
+    Equal items need no pairing, so the lesser of both counts is the number of matches.
+    """
+    said, held = _action_items(table(spark, folder, "turns"), "said"), _action_items(table(spark, folder, "chunks"), "held")
+    both = said.join(held, ["source_id", "owner", "task"], "full").na.fill(0, ["said", "held"])
+    sums = both.groupBy("source_id").agg(F.sum("said").alias("said"), F.sum("held").alias("held"), F.sum(F.least("said", "held")).alias("matched"))
+    share = lambda n: F.when(F.col(n) > 0, F.round(F.col("matched") / F.col(n), 4))
+    return sums.select("source_id", "said", "held", "matched", share("said").alias("recall"), share("held").alias("precision"))
+
+
+_NAMES = "|".join(name.capitalize() for names in MONTHS for name in names if len(name) > 4 or name == "may")
+_DATE = rf"\b((?:{_NAMES}) [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} (?:{_NAMES}) [0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\b"
 _BARE = "CASE " + " ".join(f"WHEN ends_with({{0}}, '{s}') AND length({{0}}) >= {len(s) + 3} THEN left({{0}}, -{len(s)})" for s in X.SUFFIXES) + " ELSE {0} END"
 _SHORT = "CASE WHEN length({0}) > 3 AND ends_with({0}, 'e') THEN left({0}, -1) ELSE {0} END"
 _HALVED = "CASE WHEN length({0}) > 3 AND right({0}, 1) = substr({0}, -2, 1) AND NOT contains('" + X.STAYS_DOUBLE + "', right({0}, 1)) THEN left({0}, -1) ELSE {0} END"
@@ -110,7 +140,7 @@ _AT = """CASE WHEN r.page_start IS NOT NULL THEN c.page_start IS NOT NULL AND c.
 
 QUERIES = {
     "canonical_answers": canonical_answers, "fact_coverage": fact_coverage, "place_metrics": place_metrics, "field_accuracy": field_accuracy, "keyword_coverage": keyword_coverage,
-    "table_cell_f1": table_cell_f1, "stem_forms": stem_forms,
+    "table_cell_f1": table_cell_f1, "stem_forms": stem_forms, "written_dates": written_dates, "action_items": action_items,
 }
 SQL = {
     "canonical_answers": f"SELECT id, {canonical_sql('answer')} AS text FROM qa_turns WHERE answer IS NOT NULL",
@@ -162,4 +192,21 @@ WITH w AS (
     SELECT list(word) AS l FROM w WHERE regexp_matches(word, '^[a-z]+$')
 )
 SELECT unnest(l) AS word, unnest({_stems("l")}) AS stem FROM s""",
+    "written_dates": rf"""
+WITH w AS (
+    SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_DATE}')) AS written FROM documents
+)
+SELECT doc_id, written, CASE WHEN regexp_matches(written, '^[0-9]{{4}}-') THEN strftime(try_cast(written AS DATE), '%Y-%m-%d')
+    ELSE strftime(coalesce(try_strptime(written, '%B %-d, %Y'), try_strptime(written, '%-d %B %Y')), '%Y-%m-%d') END AS iso FROM w""",
+    "action_items": rf"""
+WITH i AS (
+    SELECT 1 AS side, source_id, unnest(regexp_extract_all(text, 'Action: +([^.!?\n]+)', 1)) AS item FROM turns UNION ALL SELECT 2, source_id, unnest(regexp_extract_all(text, 'Action: +([^.!?\n]+)', 1)) FROM chunks
+), w AS (
+    SELECT side, source_id, list_filter(regexp_extract_all(lower(item), '[a-z0-9]+'), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x)) AS w FROM i
+), k AS (
+    SELECT source_id, coalesce(w[1], '') AS owner, array_to_string(list_sort(list_distinct({_stems("w[2:]")})), ' ') AS task, count(*) FILTER (side = 1) AS said, count(*) FILTER (side = 2) AS held FROM w GROUP BY ALL
+), s AS (
+    SELECT source_id, CAST(sum(said) AS BIGINT) AS said, CAST(sum(held) AS BIGINT) AS held, CAST(sum(least(said, held)) AS BIGINT) AS matched FROM k GROUP BY source_id
+)
+SELECT source_id, said, held, matched, CASE WHEN said > 0 THEN round(matched / said, 4) END AS recall, CASE WHEN held > 0 THEN round(matched / held, 4) END AS precision FROM s""",
 }

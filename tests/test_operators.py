@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaro.functions import text as X
-from tessaro.functions.canonical import canonical, contains_words
+from tessaro.functions.canonical import canonical, contains_words, iso_date
 from tessaro.functions.speech import digits_of, errors, spoken, word_error_rate
 from tessaro.operators import metrics as M
 from tessaro.operators.chunking import empty_grid, is_section_row, merged_under_heading, sentence_parts, split_chunks, split_tables, table_parts
@@ -180,3 +180,11 @@ def test_vector_ties(spark):
     rows = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(40)], "id long, v array<float>")
     found = vector_topk(rows, "id", "v", rows.where("id = 1"), 5).orderBy("rank").collect()
     assert [r["id"] for r in found] == [1, 3, 5, 7, 9]
+
+
+def test_written_dates(spark):
+    cases = {
+        "2026-09-14": "2026-09-14", "14/09/2026": "2026-09-14", "09/14/2026": "2026-09-14", "03/04/2026": None, "5.5.2026": "2026-05-05", "31/02/2026": None, "5 September 2026": "2026-09-05", "Sept. 5, 2026": "2026-09-05",
+        "14-Oct-2026": "2026-10-14", "May 32, 2026": None, "13/13/2026": None, "soon": None, "": None, None: None,
+    }
+    assert column(spark, list(cases), iso_date) == list(cases.values())
