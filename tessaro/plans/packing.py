@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.packing import fitting, packed
-from ..operators.search import ranked
+from ..operators.search import held_by_any, ranked
 from .tables import table
 
 # English months.
@@ -70,9 +70,9 @@ def fuzzy_speaker_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def search_trace(spark: SparkSession, folder: str) -> DataFrame:
     """How many chunks hold any term of each fiftieth question, and the most that any of its terms occurs."""
-    asked = table(spark, folder, "qa_turns").where("id % 50 = 0").select(F.col("id").alias("qa_id"), F.explode(F.array_distinct(X.search_terms(F.lower("question")))).alias("term"))
-    held = table(spark, folder, "chunks").select("id", F.explode(X.search_terms(F.lower("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    return asked.join(held, "term").groupBy("qa_id").agg(F.count_distinct("id").alias("chunks"), F.max("tf").alias("most"))
+    asked = table(spark, folder, "qa_turns").where("id % 50 = 0").select(F.col("id").alias("qa_id"), "question")
+    found = held_by_any(table(spark, folder, "chunks"), X.search_terms(F.lower("text")), asked, "qa_id", X.search_terms(F.lower("question")))
+    return found.withColumnRenamed("documents", "chunks")
 
 
 def incremental_documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tessaro.operators.search import bm25
+from tessaro.operators.search import bm25, held_by_any
+from tessaro.plans.packing import search_trace
 
 NAMES = "pump valve crate hall dock mill yard annex".split()
 
@@ -22,16 +23,16 @@ def shuffled(spark, run):
     return run(), rows() - before
 
 
-def stored(spark, tmp_path, rows, schema):
-    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / schema[0]))
-    return spark.read.parquet(str(tmp_path / schema[0]))
+def stored(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return spark.read.parquet(str(tmp_path / f"{name}.parquet"))
 
 
 def tables(spark, tmp_path):
     """300 documents, some of them alike, and 60 queries that share common terms with nearly all of them and differ in rare ones."""
     texts = {i: ["pump", NAMES[i % 8], NAMES[i % 3], *["hall"] * (i % 4), f"no-{i // 2}"] for i in range(300)} | {300: None, 301: []}
     asked = {i: ["pump", NAMES[i % 5], f"no-{i}", *([f"no-{i + 1}"] if i % 2 else []), "unheard"] for i in range(60)} | {60: ["unheard"], 61: []}
-    return texts, asked, stored(spark, tmp_path, list(texts.items()), "id long, t array<string>"), stored(spark, tmp_path, list(asked.items()), "q long, a array<string>")
+    return texts, asked, stored(spark, tmp_path, "t", list(texts.items()), "id long, t array<string>"), stored(spark, tmp_path, "a", list(asked.items()), "q long, a array<string>")
 
 
 def ranks(texts, asked, k):
@@ -60,3 +61,17 @@ def test_bm25_stores_no_pairs(spark, tmp_path):
     found = bm25(docs, "id", F.col("t"), queries, "q", F.col("a"), 7, block=9).collect()
     assert {(r["q"], r["rank"]): (r["id"], r["score"]) for r in found} == ranks(texts, asked, 7)
     assert bm25(docs, "id", F.col("t"), queries.limit(0), "q", F.col("a")).count() == 0 == bm25(docs.limit(0), "id", F.col("t"), queries, "q", F.col("a")).count()
+
+
+def test_terms_held_store_no_pairs(spark, tmp_path):
+    texts, asked, docs, queries = tables(spark, tmp_path)
+    held = {q: [max(t.count(x) for x in a) for t in texts.values() if t and set(a) & set(t)] for q, a in asked.items()}
+    want = {q: (len(n), max(n)) for q, n in held.items() if n}
+    for block in (16384, 9):
+        assert {r["q"]: (r["documents"], r["most"]) for r in held_by_any(docs, F.col("t"), queries, "q", F.col("a"), block).collect()} == want
+    assert held_by_any(docs, F.col("t"), queries.limit(0), "q", F.col("a")).count() == 0 == held_by_any(docs.limit(0), F.col("t"), queries, "q", F.col("a")).count()
+    stored(spark, tmp_path, "chunks", [(i, " ".join(t or [])) for i, t in texts.items()], "id long, text string")
+    stored(spark, tmp_path, "qa_turns", [(50 * i, " ".join(a)) for i, a in asked.items()], "id long, question string")
+    found, rows = shuffled(spark, lambda: search_trace(spark, str(tmp_path)).collect())
+    assert {r["qa_id"] // 50: (r["chunks"], r["most"]) for r in found} == want
+    assert rows < 60 * 300 / 2
