@@ -2,10 +2,12 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessaro.operators.search import bm25, held_by_any
 from tessaro.plans.packing import search_trace
+from tessaro.plans.search import hybrid_search
 
 NAMES = "pump valve crate hall dock mill yard annex".split()
 
@@ -28,9 +30,9 @@ def stored(spark, tmp_path, name, rows, schema):
     return spark.read.parquet(str(tmp_path / f"{name}.parquet"))
 
 
-def tables(spark, tmp_path):
-    """300 documents, some of them alike, and 60 queries that share common terms with nearly all of them and differ in rare ones."""
-    texts = {i: ["pump", NAMES[i % 8], NAMES[i % 3], *["hall"] * (i % 4), f"no-{i // 2}"] for i in range(300)} | {300: None, 301: []}
+def tables(spark, tmp_path, n=300):
+    """``n`` documents, some of them alike, and 60 queries that share common terms with nearly all of them and differ in rare ones."""
+    texts = {i: ["pump", NAMES[i % 8], NAMES[i % 3], *["hall"] * (i % 4), f"no-{i // 2}"] for i in range(n)} | {n: None, n + 1: []}
     asked = {i: ["pump", NAMES[i % 5], f"no-{i}", *([f"no-{i + 1}"] if i % 2 else []), "unheard"] for i in range(60)} | {60: ["unheard"], 61: []}
     return texts, asked, stored(spark, tmp_path, "t", list(texts.items()), "id long, t array<string>"), stored(spark, tmp_path, "a", list(asked.items()), "q long, a array<string>")
 
@@ -75,3 +77,17 @@ def test_terms_held_store_no_pairs(spark, tmp_path):
     found, rows = shuffled(spark, lambda: search_trace(spark, str(tmp_path)).collect())
     assert {r["qa_id"] // 50: (r["chunks"], r["most"]) for r in found} == want
     assert rows < 60 * 300 / 2
+
+
+@pytest.mark.parametrize("query", [hybrid_search])
+def test_fused_searches_store_no_pairs(spark, tmp_path, query):
+    texts, asked, *_ = tables(spark, tmp_path, 3000)
+    stored(spark, tmp_path, "chunks", [(i, " ".join(t or []), None) for i, t in texts.items()], "id long, text string, context string")
+    stored(spark, tmp_path, "qa_turns", [(50 * i, " ".join(a)) for i, a in asked.items()], "id long, question string")
+    stored(spark, tmp_path, "embeddings", [(i, [1.0, float(i % 7)], 1) for i in range(100)], "vec_id long, embedding array<double>, label int")
+    found, rows = shuffled(spark, lambda: query(spark, str(tmp_path)).collect())
+    best = ranks(texts, asked, 1)
+    assert {r["qa_id"] // 50 for r in found} >= {q for q, _ in best}
+    # The two that hold the identifier are ahead in two lists.
+    assert {r["id"] for r in found if r["qa_id"] == 50 * 40 and r["rank"] <= 2} == {80, 81}
+    assert rows < 60 * 3000 / 2
