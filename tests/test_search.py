@@ -1,12 +1,14 @@
 """Searches whose queries and documents grow together: right results, and no pair of both stored."""
 
 import math
+import random
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tessaro.operators.search import bm25, held_by_any
+from tessaro.operators.search import bm25, held_by_any, identifier_hits
 from tessaro.plans.packing import search_trace
 from tessaro.plans.search import _places, hybrid_search, search_modes
 
@@ -98,3 +100,53 @@ def test_scores_round_as_in_sql(spark):
     values = [8.735615, 8.203945, 17.810145, 0.015625, -0.000015, *(i / 1e6 for i in range(5, 30_000_000, 99_990))]
     found = spark.createDataFrame([(v,) for v in values], "v double").select(_places(F.col("v"), 5)).collect()
     assert [r[0] for r in found] == [r[0] for r in duckdb.execute("SELECT round(v, 5) FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()]
+
+
+def held_ranks(texts, asked, k):
+    """What ``identifier_hits`` gives, by brute force."""
+    held = {i: t.lower() for i, t in texts.items() if t and len(t) > 2}
+    mean = sum(len(t) - 2 for t in held.values()) / len(held)
+    terms = {q: {x.lower() for x in a if len(x) > 2 and any(c in "0123456789" for c in x)} for q, a in asked.items()}
+    tf = {x: {i: n for i, t in held.items() if (n := t.count(x))} for x in set().union(*terms.values())}
+    idf = {x: max(math.log((len(held) - len(n) + 0.5) / (len(n) + 0.5)), 1e-6) for x, n in tf.items()}
+    out = {}
+    for q, own in terms.items():
+        best = {}
+        for x in own:
+            for i, n in tf[x].items():
+                best[i] = max(best.get(i, 0), round(idf[x] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * (len(held[i]) - 2) / mean)), 6))
+        out |= {(q, n): (i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:k], 1)}
+    return out
+
+
+def checkpointed(spark):
+    """Bytes in the checkpoint folder."""
+    folder = spark.sparkContext.getCheckpointDir()
+    return sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file()) if folder else 0
+
+
+def test_identifiers_store_neither_pairs_nor_runs(spark, tmp_path):
+    """One identifier is in each text and asked by each query; the texts hold ten codes each that are all different."""
+    texts = {i: " ".join(["Crate ZZ-77", *(f"tk-{i * 10 + j:05}/{i % 7}" for j in range(10))]) for i in range(2000)}
+    asked = {q: ["zz-77", f"TK-{q * 31:05}"] for q in range(60)}
+    docs, queries = stored(spark, tmp_path, "t", list(texts.items()), "id long, t string"), stored(spark, tmp_path, "a", list(asked.items()), "q long, a array<string>")
+    before = checkpointed(spark)
+    found, rows = shuffled(spark, lambda: identifier_hits(docs, "id", F.col("t"), queries, "q", F.col("a"), 7).collect())
+    assert {(r["q"], r["rank"]): (r["id"], r["score"]) for r in found} == held_ranks(texts, asked, 7)
+    assert rows < 2000
+    assert checkpointed(spark) - before < 300_000
+
+
+@pytest.mark.parametrize("block", [131072, 5])
+def test_identifiers_as_brute_force_finds_them(spark, tmp_path, block):
+    """Few characters, so that they overlap, repeat, stand at the ends of texts and share their last bytes; some of several bytes."""
+    rng = random.Random(5)
+    some = lambda least, most: "".join(rng.choice("aB1-é2. ") for _ in range(rng.randint(least, most)))
+    texts = {i: some(0, 40) for i in range(400)} | {400: None, 401: "a-1", 402: "1-a", 403: "xx-AB12-1212-1212", 404: "-1212-1212", 405: "1é", 406: "日本1日本1日本1", 407: ""}
+    asked = {q: [some(1, 6).strip() for _ in range(3)] for q in range(80)} | {80: ["xx-ab12-1212-1212", "yy-ab12-1212-1212", "12-1212"], 81: ["本1日", "1-a", "a-1"], 82: ["aBa", "---"], 83: [], 84: None, 85: ["111", "1aaaaaaaaaaaa", "xx-AB12-1212-1212z"]}
+    docs, queries = stored(spark, tmp_path, "t", list(texts.items()), "id long, t string"), stored(spark, tmp_path, "a", list(asked.items()), "q long, a array<string>")
+    found = identifier_hits(docs, "id", F.col("t"), queries, "q", F.col("a"), 9, block=block).collect()
+    want = held_ranks(texts, {q: a or [] for q, a in asked.items()}, 9)
+    assert {(r["q"], r["rank"]): r["id"] for r in found} == {at: i for at, (i, _) in want.items()}
+    assert all(abs(r["score"] - want[r["q"], r["rank"]][1]) < 2e-6 for r in found)
+    assert identifier_hits(docs, "id", F.col("t"), queries.limit(0), "q", F.col("a")).count() == 0 == identifier_hits(docs.limit(0), "id", F.col("t"), queries, "q", F.col("a")).count()
